@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickerpulse.fixtures import sql as S
 from tickerpulse.fixtures.registry import query
-from tickerpulse.fixtures.tables import lemmas, lexicon, links, posts, prices, table
+from tickerpulse.fixtures.tables import documents, lemmas, lexicon, links, posts, prices
 from tickerpulse.functions import text as T
 from tickerpulse.functions.columns import class_code, score_class
 from tickerpulse.operators import daily, lexicon as L, models, tfidf
@@ -16,7 +16,7 @@ GROUP = ["source", "lang"]
 
 
 def _documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return documents(spark, sf_dir)
 
 
 def _text(date: str):

@@ -112,11 +112,11 @@ def weights(docs: str, keys: str) -> str:
 def dispersions(docs: str, keys: str) -> str:
     """The pair form: every ordered pair of different texts counts 1 − cosine, weighted by the second text's e."""
     return f"""{weights(docs, keys)},
-    pairs AS (SELECT {keys}, sum(e_b * cosine) AS similar FROM (
+    pairs AS (SELECT {keys}, sum(e_b * cosine) AS alike FROM (
         SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.doc AS i, b.doc AS j, any_value(b.e) AS e_b, sum(a.v * b.v) AS cosine
         FROM weights a JOIN weights b USING ({keys}, term) WHERE a.doc <> b.doc GROUP BY ALL) GROUP BY ALL),
     totals AS (SELECT {keys}, (count(*) - 1) * sum(e) AS total FROM {docs} GROUP BY ALL),
     dispersions AS (SELECT {keys},
         CASE WHEN total = 0 OR NOT EXISTS (SELECT 1 FROM weights w WHERE {' AND '.join(f'w.{k.strip()} = totals.{k.strip()}' for k in keys.split(','))})
-             THEN 0.0 ELSE (total - coalesce(similar, 0.0)) / total END AS dispersion
+             THEN 0.0 ELSE (total - coalesce(alike, 0.0)) / total END AS dispersion
       FROM totals LEFT JOIN pairs USING ({keys}))"""

@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts. A table of few files, as in the tests, is one task's work to read; its rows are then
+    spread by key, so that tokenizing runs on all cores. A table of many files is left as it is.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEXICON_ROWS, LEXICON)
 
@@ -34,8 +42,8 @@ def lemmas(spark: SparkSession) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is a post; its body is the document of the same number, if there is one."""
-    events, documents = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
-    joined = events.join(documents, events["event_id"] == documents["doc_id"], "left")
+    events, docs = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    joined = events.join(docs, events["event_id"] == docs["doc_id"], "left")
     return joined.select(
         F.col("event_id").alias("tweet_id"), F.col("user_id").cast("string").alias("writer"),
         F.unix_timestamp("ts").alias("post_date"), F.col("text").alias("body"),

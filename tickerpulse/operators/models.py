@@ -58,7 +58,7 @@ def fit_logistic(train: DataFrame, label: str, features: str = "features"):
     """One logistic regression per class, ridge of strength 1 spread over the rows."""
     # Every class model sees all rows and labels 0/1 only; the penalty is relative to the number of rows.
     single = LogisticRegression(regParam=1.0 / train.count(), standardization=False)
-    return OneVsRest(classifier=single, labelCol=label, featuresCol=features).fit(train)
+    return OneVsRest(classifier=single, labelCol=label, featuresCol=features, parallelism=4).fit(train)
 
 
 def fit_tree(train: DataFrame, label: str, features: str = "features", depth: int = TREE_DEPTH, bins: int = 256, seed: int = 0):

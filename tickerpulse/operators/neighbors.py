@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerpulse.session import cut_lineage
+
 PIVOTS = 64
 
 
@@ -24,8 +26,10 @@ def nearest(
     remaining cells are cut into tiles of about ``tile_rows`` rows on both sides, so that no task gets a crowded cell
     whole; a tile returns k rows per test row, never its pairs.
     """
-    train = train.select(F.col(key).alias("train_key"), F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("label"))
-    test = test.select(F.col(key).alias("test_key"), F.col(vector).cast("array<double>").alias("x"))
+    # Both sides are read several times below.
+    vectors = F.col(vector).cast("array<double>").alias("x")
+    train = cut_lineage(train.select(F.col(key).alias("train_key"), vectors, F.col(label).alias("label")))
+    test = cut_lineage(test.select(F.col(key).alias("test_key"), vectors))
     # A fixed number of pivots, spread by a hash of the key.
     sample = train.orderBy(F.xxhash64("train_key"), "train_key").limit(pivots).select("x").collect()
     centres = np.unique(np.array([r["x"] for r in sample]), axis=0)
