@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from tickerpulse.fixtures import sql as S
@@ -11,6 +13,8 @@ from tickerpulse.functions import text as T
 from tickerpulse.functions.columns import class_code, score_class
 from tickerpulse.operators import daily, lexicon as L, models, tfidf
 from tickerpulse.plans import refined, reports, trusted
+from tickerpulse.session import shared_dir
+from tickerpulse.sources import io
 
 GROUP = ["source", "lang"]
 
@@ -258,8 +262,15 @@ refined AS (SELECT ticker, date,
 _ROUNDED = ["negative", "neutral", "positive", "dispersion_tweets_content", "Y2"]
 
 
+def _trusted_zone(spark, sf_dir):
+    """The trusted table as the first job leaves it: written per ticker and read back."""
+    path = f"{shared_dir(spark)}/tickerpulse-trusted/{uuid4().hex}"
+    io.write_by_ticker(_trusted(spark, sf_dir), path)
+    return io.read_parquet(spark, path)
+
+
 def _daily(spark, sf_dir):
-    done = _trusted(spark, sf_dir)
+    done = _trusted_zone(spark, sf_dir)
     return done, refined.trusted_to_refined(done, prices(spark, sf_dir)), refined.weighted_sentiment(done)
 
 

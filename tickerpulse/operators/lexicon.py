@@ -1,7 +1,7 @@
 """Lemmas and sentiment from dictionary tables.
 
 A dictionary is an input table. The texts' tokens are exploded and inner-joined with it, so only the
-hits travel; Spark broadcasts the dictionary when its known size allows and otherwise shuffles it.
+hits travel; it is broadcast when a count proves it small and shuffled otherwise.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerpulse.operators.sides import join_checked
+
 # Fixed values of the published lexicon method.
 NORMALISER = 15.0
 NEGATION_FACTOR = -0.74
@@ -56,7 +58,8 @@ def lookup(df: DataFrame, key: str, tokens: str | Column, entries: DataFrame) ->
     ``key`` identifies the text; each text's hits are summed before they are shuffled.
     """
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    hits = df.select(key, F.explode(tokens).alias("form")).join(entries, "form")
+    # The outer form keeps Spark from testing the token expression once more before it explodes it.
+    hits = join_checked(df.select(key, F.explode_outer(tokens).alias("form")), entries, "form")
     return hits.groupBy(key).agg(
         F.sum("valence").alias("valence_sum"),
         F.map_from_entries(
@@ -92,7 +95,7 @@ def score_with_context(
     negators: Sequence[str] = NEGATORS, up: Sequence[str] = BOOSTERS_UP, down: Sequence[str] = BOOSTERS_DOWN,
 ) -> DataFrame:
     """Compound score in which the three tokens before a hit may strengthen, weaken or negate it."""
-    hits = df.select(key, F.explode(F.array_distinct(tokens)).alias("token")).join(lexicon, "token")
+    hits = join_checked(df.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token")), lexicon, "token")
     valences = hits.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_valences"))
     words, known = F.col(tokens), F.col("_valences")
 

@@ -48,10 +48,11 @@ def nearest(
     visits = _visits(test, centres[at], at, size, radius, k)
     load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = test.sparkSession
-    shape = spark.createDataFrame(
+    # One row per pivot, so small enough to broadcast.
+    shape = F.broadcast(spark.createDataFrame(
         [(int(c), max(1, ceil(load.get(c, 0) / tile_rows)), max(1, ceil(n / tile_rows))) for c, n in zip(at, size)],
         "cell int, test_tiles int, train_tiles int",
-    )
+    ))
     # Each test tile of a cell meets each train tile of the same cell.
     test_side = visits.join(shape, "cell").select(
         "cell", F.pmod(F.xxhash64("test_key"), "test_tiles").cast("int").alias("tile_a"),

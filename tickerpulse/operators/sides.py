@@ -1,0 +1,16 @@
+"""Joins whose one side is expected to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows of a table that every executor may hold a copy of; a dictionary row takes some tens of bytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` if a count proves it small; otherwise shuffle both sides, and let AQE split hot keys."""
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small.hint("merge"), on, how)

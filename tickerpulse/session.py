@@ -12,6 +12,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Join choice by measured sizes: copies to all executors only below this size, hash tables per
+    # partition only if every partition of the side is small, otherwise sort and merge.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "2m",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # A group-by that collects sets keeps hashing until this many groups per task.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
