@@ -129,19 +129,19 @@ def test_outliers_in_rounds_never_exceed_the_share(spark, monkeypatch):
     random = np.random.default_rng(5)
     pdf = pd.DataFrame(random.standard_t(2, size=(600, 2)), columns=["a", "b"]).assign(id=range(600), y=["p", "p", "q"] * 200)
     df = spark.createDataFrame(pdf)
-    kept = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200)
+    kept = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200, per_round=15)
     counts = dict(rows(kept.groupBy("y").count()))
     assert 360 <= counts["p"] < 400 and 180 <= counts["q"] < 200
     # The path for big classes takes the same rows.
     monkeypatch.setattr(outliers, "SMALL_CLASS", 1)
-    again = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200)
+    again = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200, per_round=15)
     assert rows(again.select("id"), "id") == rows(kept.select("id"), "id")
 
 
 def test_moments_give_the_kurtosis_of_projections(spark, monkeypatch):
     random = np.random.default_rng(6)
     x, u = random.exponential(size=(400, 3)), random.normal(size=(5, 3))
-    df = spark.createDataFrame([("p", i, v.tolist()) for i, v in enumerate(x)], "label string, key int, x array<double>")
+    df = spark.createDataFrame([("p", *v.tolist()) for v in x], "label string, x0 double, x1 double, x2 double")
     centre, spread = {"p": x.mean(0)}, {"p": x.std(0)}
     p = ((x - x.mean(0)) / x.std(0)) @ u.T
     want = ((p - p.mean(0)) ** 4).mean(0) / p.var(0) ** 2 - 3
