@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tickerpulse.fixtures import sql as S
 from tickerpulse.fixtures.registry import query
-from tickerpulse.fixtures.tables import links, order_prices, posts, prices, table
+from tickerpulse.fixtures.tables import links, order_prices, posts, prices, seconds_of, table
 from tickerpulse.functions import columns as C
 from tickerpulse.operators import common, daily, enrich, explore, quality
 from tickerpulse.operators import prices as P
@@ -156,7 +156,7 @@ SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, strftime(ts, '%Y-%m-
        TRY_CAST(props AS TIMESTAMP) IS NULL AS unparsed, strftime(TRY_CAST(strftime(ts, '%Y-%m-%d') AS TIMESTAMP), '%Y/%m/%d') AS parsed
 FROM events""")
 def epoch_roundtrip(spark, sf_dir):
-    seconds = table(spark, sf_dir, "events").withColumn("epoch", F.unix_timestamp("ts"))
+    seconds = table(spark, sf_dir, "events").withColumn("epoch", seconds_of("ts"))
     at = C.epoch_to_timestamp(F.col("epoch").cast("string"))
     return seconds.select(
         "event_id", "epoch", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), _text(F.to_date(at)).alias("day"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerpulse.operators.prices import daily_close
@@ -40,13 +40,18 @@ def lemmas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEMMA_ROWS, LEMMAS)
 
 
+def seconds_of(ts: str) -> Column:
+    """Epoch seconds of a time without zone, read as UTC."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is a post; its body is the document of the same number, if there is one."""
     events, docs = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
     joined = events.join(docs, events["event_id"] == docs["doc_id"], "left")
     return joined.select(
         F.col("event_id").alias("tweet_id"), F.col("user_id").cast("string").alias("writer"),
-        F.unix_timestamp("ts").alias("post_date"), F.col("text").alias("body"),
+        seconds_of("ts").alias("post_date"), F.col("text").alias("body"),
         F.floor("value").cast("int").alias("comment_num"), F.col("user_id").cast("int").alias("retweet_num"),
         F.coalesce(F.col("n_chars") % 100, F.lit(0)).cast("int").alias("like_num"),
     )
