@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from tickerpulse.session import cut_lineage
 
-PIVOTS = 64
+# Pivots grow with the root of the train rows, up to what the driver and every task can hold.
+MAX_PIVOTS = 4096
 
 
 def nearest(
     test: DataFrame, train: DataFrame, key: str, vector: str, label: str, k: int,
-    pivots: int = PIVOTS, tile_rows: int = 4096,
+    pivots: int | None = None, tile_rows: int = 4096,
 ) -> DataFrame:
     """(key, train_key, distance, label): the ``k`` nearest train rows of each test row, ties by train key.
 
@@ -30,7 +31,8 @@ def nearest(
     vectors = F.col(vector).cast("array<double>").alias("x")
     train = cut_lineage(train.select(F.col(key).alias("train_key"), vectors, F.col(label).alias("label")))
     test = cut_lineage(test.select(F.col(key).alias("test_key"), vectors))
-    # A fixed number of pivots, spread by a hash of the key.
+    pivots = pivots or min(max(int(train.count() ** 0.5), 16), MAX_PIVOTS)
+    # A bounded number of pivots, spread by a hash of the key.
     sample = train.orderBy(F.xxhash64("train_key"), "train_key").limit(pivots).select("x").collect()
     centres = np.unique(np.array([r["x"] for r in sample]), axis=0)
     if not len(centres):

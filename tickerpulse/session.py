@@ -19,6 +19,8 @@ SESSION_CONF = {
     # A group-by that collects sets keeps hashing until this many groups per task.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the last plan that reads them does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
