@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
+import atexit
+import contextlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,23 +35,30 @@ def build_session(app_name: str = "tickerpulse", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="tickerpulse-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is missing a temporary folder is used, but only in local mode:
-    executors on other machines could not read it.
+    """The folder for intermediate data: ``spark.checkpoint.dir``, else one below the warehouse. The rule is the
+    same for every master; on a cluster both settings name folders that all executors reach.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder all executors can reach")
-    return _local_dir()
+    return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            remove(spark, path)
+
+    atexit.register(clean)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
