@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import pieces, wavelet
+from tickerpulse.llm import pieces, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, unhex(sha1(payload)) AS raw, sha1(payload) AS hex FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY hex, n) AS first FROM d),
+five AS (SELECT *, list_transform(range(8), lambda k: CAST('0x' || substr(hex, 5 * k + 1, 5) AS BIGINT)) AS parts FROM r)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((parts[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM five""")
+def warc_round_trip(spark, sf_dir):
+    path = work_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", path)
+    found = warc.read(spark, path).where("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op7_token_shards")
 def token_shards(spark, sf_dir):
     path = work_path(spark, "shards")
