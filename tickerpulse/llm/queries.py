@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import pieces, warc, wavelet
+from tickerpulse.llm import langid, pieces, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,17 @@ def warc_round_trip(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_language")
+def language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("NOT held_out AND doc_id IS NOT NULL"), "text", "lang")
+    found = langid.label(docs.select("doc_id", "held_out", "text"), "text", model)
+    return found.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
+        F.size("language.spans").alias("n_spans"),
+    )
+
+
 @query("op7_token_shards")
 def token_shards(spark, sf_dir):
     path = work_path(spark, "shards")
