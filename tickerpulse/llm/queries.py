@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import langid, pieces, warc, wavelet
+from tickerpulse.llm import langid, pieces, toxicity, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def language(spark, sf_dir):
     )
 
 
+@query("op5_toxicity")
+def toxic_documents(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    found = toxicity.score(docs, "doc_id", "text", model)
+    return found.select("doc_id", "expected_severity", "grade", (F.col("expected_severity") >= 0.3).alias("toxic"))
+
+
 @query("op7_token_shards")
 def token_shards(spark, sf_dir):
     path = work_path(spark, "shards")
