@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import langid, pieces, toxicity, warc, wavelet
+from tickerpulse.llm import html_text, langid, pieces, toxicity, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ def toxic_documents(spark, sf_dir):
     return found.select("doc_id", "expected_severity", "grade", (F.col("expected_severity") >= 0.3).alias("toxic"))
 
 
+@query("op6_main_text")
+def main_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    model = html_text.fit(pages, "html")
+    return html_text.extract(pages, "html", model).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op7_token_shards")
 def token_shards(spark, sf_dir):
     path = work_path(spark, "shards")
