@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import html_text, langid, pieces, toxicity, warc, wavelet
+from tickerpulse.llm import html_text, langid, pieces, toxicity, vecdedup, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,22 @@ def language(spark, sf_dir):
     )
 
 
+@query("op3_vector_dedup", """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b
+  ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reached AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+roots AS (SELECT u, least(u, min(v)) AS root FROM reached GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts c ON vec_id = c.u LEFT JOIN roots r ON vec_id = r.u""")
+def vector_dedup(spark, sf_dir):
+    return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
 @query("op5_toxicity")
 def toxic_documents(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
