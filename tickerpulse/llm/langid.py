@@ -214,7 +214,7 @@ def label(df: DataFrame, text_col: str, model: Model, penalty: float = 6.0, out:
         model = shared.value
         for batch in batches:
             data, starts = textio.column_bytes(batch.column(lower))
-            for a, z in textio.blocks(starts):
+            for a, z in textio.blocks(starts, 2_000_000):
                 found = _label_block(model, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], penalty)
                 kept = [batch.column(i).slice(a, z - a) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], [*names, out])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import html_text, langid, ngram_join, pieces, toxicity, vecdedup, warc, wavelet
+from tickerpulse.llm import html_text, langid, ngram_join, paragraphs, pieces, toxicity, vecdedup, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,11 @@ def token_shards(spark, sf_dir):
     return wavelet.read_documents(spark, path)
 
 
+@query("op8_paragraph_dedup")
+def paragraph_dedup(spark, sf_dir):
+    return paragraphs.removals(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("op9_ngram_join")
 def ngram_pairs(spark, sf_dir):
     return ngram_join.similar(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -66,11 +66,16 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of every span, the same wherever the span stands."""
+    return sequence_hashes(_BYTE[data], begin, end)
+
+
+def sequence_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values between each begin and end, in their order."""
     if not len(begin):
         return np.zeros(0, U64)
-    powers = np.cumprod(np.full(len(data), _BASE, U64))
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[data] * powers)])
-    backs = np.cumprod(np.full(len(data), _INVERSE, U64))
+    powers = np.cumprod(np.full(len(values), _BASE, U64))
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(values * powers)])
+    backs = np.cumprod(np.full(len(values), _INVERSE, U64))
     return mix((sums[end] - sums[begin]) * backs[begin] + (end - begin).astype(U64))
 
 
