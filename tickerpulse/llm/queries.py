@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import html_text, langid, ngram_join, paragraphs, pieces, toxicity, vecdedup, warc, wavelet
+from tickerpulse.llm import decontam, html_text, langid, ngram_join, paragraphs, pieces, toxicity, vecdedup, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,12 @@ def vector_dedup(spark, sf_dir):
     return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
+@query("op4_decontamination")
+def decontamination(spark, sf_dir):
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contaminated(docs, benchmark, "doc_id", "text", "item_id", "text")
+
+
 @query("op5_toxicity")
 def toxic_documents(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
