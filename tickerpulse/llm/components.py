@@ -3,7 +3,8 @@
 A large star joins all larger neighbours of a node to its smallest neighbour, a small star all smaller ones. Both keep
 the components and end in one star per component around its smallest node, after a number of rounds that grows with
 the logarithm of the graph. Every round is a few joins and aggregates over edges; each is written to the shared
-folder, so a lost executor costs no earlier round.
+folder, so a lost executor costs no earlier round. The smallest neighbours are written before they are joined: a join
+of two plain tables is one whose partitions Spark can split where a node has very many edges.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        lowest = cut_lineage(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        lowest = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)

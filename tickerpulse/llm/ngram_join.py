@@ -14,7 +14,7 @@ must reach.
 
 One row per input row: doc_id; class_id, the smallest document of its group; copy_of, the smallest of its exact
 copies; n_links, the number of other documents with a coefficient of at least the threshold; kept (doc_id =
-class_id). NULL texts and texts without words link with nothing. Rows with a NULL id count as documents, but never
+class_id); text_hash, Spark's xxhash64 of the text, which tells rows of one id apart. NULL texts and texts without words link with nothing. Rows with a NULL id count as documents, but never
 represent a class; if all rows of a class have a NULL id, it is left alone with NULL as class. Rows that repeat an id
 count as documents of their own.
 """
@@ -45,7 +45,7 @@ def _shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.nda
 
 
 def sketches(rows: DataFrame, size: int, bands: int) -> DataFrame:
-    """id, two hashes of the n-gram set (NULL if empty), its size, and the band hashes of ``rows`` (id, text)."""
+    """id, text_hash, two hashes of the n-gram set (NULL if empty), its size, and the band hashes of ``rows`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,9 +62,10 @@ def sketches(rows: DataFrame, size: int, bands: int) -> DataFrame:
                 empty = n == 0
                 columns = [pa.array(hashes[:, k].view(np.int64), mask=empty) for k in (0, 1)]
                 columns += [pa.array(n, pa.int32()), textio.lists(found.reshape(-1), np.arange(z - a + 1) * bands, pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, z - a), *columns], ["id", "h1", "h2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, z - a), batch.column("text_hash").slice(a, z - a), *columns], ["id", "text_hash", "h1", "h2", "n", "bands"])
 
-    return rows.select("id", F.lower("text").alias("text")).mapInArrow(run, "id long, h1 long, h2 long, n int, bands array<long>")
+    source = rows.select("id", F.xxhash64("text").alias("text_hash"), F.lower("text").alias("text"))
+    return source.mapInArrow(run, "id long, text_hash long, h1 long, h2 long, n int, bands array<long>")
 
 
 def verify(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, cells: int = 4_000_000) -> np.ndarray:
@@ -113,12 +114,12 @@ def similar(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, s
     of_class = of_class.select(
         "h1", "h2", "rep", F.coalesce("component", "rep").alias("group"), (F.coalesce("n_docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    out = sketch.select("id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    out = sketch.select("id", "text_hash", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     alone = F.col("h1").isNull()
     class_id = F.when(alone, F.col("id")).otherwise(F.col("group"))
     return out.select(
         F.col("id").alias("doc_id"), class_id.alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("copy_of"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("id").eqNullSafe(class_id).alias("kept"), "text_hash",
     )
 
 

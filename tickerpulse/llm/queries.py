@@ -112,7 +112,7 @@ def paragraph_dedup(spark, sf_dir):
 
 @query("op9_ngram_join")
 def ngram_pairs(spark, sf_dir):
-    return ngram_join.similar(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ngram_join.similar(table(spark, sf_dir, "documents"), "doc_id", "text").drop("text_hash")
 
 
 @query("op10_pieces")

@@ -27,7 +27,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # What the writer puts between members: itself an empty gzip member.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000 0000".replace(" ", ""))
 MEMBER = b"\x1f\x8b\x08"
-VERSION = re.compile(rb"(?:(?<=\n)|\A)WARC/\d\.\d\r?\n")
+VERSION = re.compile(rb"WARC/\d\.\d\r?\n")  # anywhere: a record before it may lack its end
 PAGE = re.compile(r"<urn:page:(-?\d+)>\Z")
 
 
