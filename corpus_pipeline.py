@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerpulse.llm import decontam, langid, ngram_join, paragraphs, pieces
-from tickerpulse.llm.stored import stored
+from tickerpulse.llm.stored import free_name, stored
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MIN_SHARE = 0.4  # of the words in one language
@@ -23,8 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents without letters or without a main language: less than ``MIN_SHARE`` of the words are in any one."""
     known = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     model = langid.fit(known, "text", "lang")
-    found = langid.label(docs, "text", model, out="_language")
-    kept = (F.col("_language.lang") != langid.UNDETERMINED) & (F.col("_language.score") >= MIN_SHARE)
+    label = free_name(docs, "language")
+    found = langid.label(docs, "text", model, out=label)
+    kept = (F.col(f"{label}.lang") != langid.UNDETERMINED) & (F.col(f"{label}.score") >= MIN_SHARE)
     return found.where(kept).select(*docs.columns)
 
 
@@ -32,21 +33,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of every group of near duplicates, the document with the smallest id stays. Rows that repeat an id and a text
     are one document."""
     lost = ngram_join.similar(docs, "doc_id", "text").where("doc_id IS NOT NULL AND NOT kept")
-    keys = lost.select("doc_id", F.col("text_hash").alias("_text_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rest = hashed.join(keys, ["doc_id", "_text_hash"], "left_anti")
-    repeats = rest.groupBy("doc_id", "_text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeats.isEmpty():
-        rest = rest.dropDuplicates(["doc_id", "_text_hash"])
+    key = ["doc_id", free_name(docs, "text_hash")]
+    rest = docs.withColumn(key[1], F.xxhash64("text")).join(lost.select("doc_id", F.col("text_hash").alias(key[1])).distinct(), key, "left_anti")
+    if not rest.where("doc_id IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        rest = rest.where("doc_id IS NULL").unionByName(rest.where("doc_id IS NOT NULL").dropDuplicates(key))
     return rest.select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document holds; documents that have no word left go."""
     spans = paragraphs.removals(docs, "doc_id", "text")
-    marked = paragraphs.without(docs.withColumn("_before", F.length("text")), spans, "doc_id", "text")
-    emptied = (F.length("text") < F.col("_before")) & ~F.col("text").rlike(r"[\p{L}\p{N}]")
-    changed = F.when(F.length("text") == F.col("_before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    before = free_name(docs, "before")
+    marked = paragraphs.without(docs.withColumn(before, F.length("text")), spans, "doc_id", "text")
+    emptied = (F.length("text") < F.col(before)) & ~F.col("text").rlike(r"[\p{L}\p{N}]")
+    changed = F.when(F.length("text") < F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return marked.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*docs.columns)
 
 

@@ -378,19 +378,20 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]], epochs: int, size: int
     return model
 
 
-def fit(df: DataFrame, html_col: str, pages: int = 240, layouts_per_page: int = 4, epochs: int = 10, seed: int = 23) -> Labeller:
-    """Train on the ``pages`` pages with the smallest hashes; that many come to the driver."""
+def fit(df: DataFrame, html_col: str, pages: int = 240, sequences: int = 1200, epochs: int = 10, seed: int = 23) -> Labeller:
+    """Train on the ``pages`` pages with the smallest hashes, which come to the driver, and on layouts of them that
+    make about ``sequences`` sequences in all."""
     some = df.select(F.col(html_col).alias("html")).where("html IS NOT NULL").orderBy(F.xxhash64("html", F.lit(seed)), "html").limit(pages)
-    rng, sequences = random.Random(seed), []
-    for row in some.collect():
+    rng, known, rows = random.Random(seed), [], some.collect()
+    for row in rows:
         found = page_blocks(row["html"])
         labels = semantic_labels(found)
         if labels is not None:
-            sequences.append((vectors(found), np.array(labels, np.float32)))
+            known.append((vectors(found), np.array(labels, np.float32)))
         texts = [b.text for b, y in zip(found, labels or [True] * len(found), strict=True) if y]
-        for blocks, kept in layouts(texts, layouts_per_page, rng):
-            sequences.append((vectors(blocks), np.array(kept, np.float32)))
-    return train([s for s in sequences if len(s[0])], epochs)
+        for blocks, kept in layouts(texts, max(1, sequences // len(rows) - 1), rng):
+            known.append((vectors(blocks), np.array(kept, np.float32)))
+    return train([s for s in known if len(s[0])], epochs)
 
 
 def main_texts(model: Labeller, pages: list[str | None], cells: int = 20_000) -> list[str]:
@@ -410,8 +411,8 @@ def main_texts(model: Labeller, pages: list[str | None], cells: int = 20_000) ->
 def extract(df: DataFrame, html_col: str, model: Labeller, out_col: str = "text", most_pages: int = 500) -> DataFrame:
     """Adds the main text of every page."""
     fields = [f for f in df.schema.fields if f.name not in (out_col, html_col)]
-    names, page = [f.name for f in fields], "_page"
-    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(html_col).alias(page))
+    names = [f.name for f in fields]
+    source = df.select(*[F.col(f"`{n}`") for n in names], F.col(html_col))  # the last column
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

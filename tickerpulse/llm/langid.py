@@ -205,15 +205,15 @@ def label(df: DataFrame, text_col: str, model: Model, penalty: float = 6.0, out:
     """Adds a struct column: lang, score and spans, an array of (first_word, n_words, lang) over the words with letters."""
     fields = [f for f in df.schema.fields if f.name != out]
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages
-    names, lower = [f.name for f in fields], "_lower"
-    source = df.select(*[F.col(f"`{n}`") for n in names], F.lower(text_col).alias(lower))
+    names = [f.name for f in fields]
+    source = df.select(*[F.col(f"`{n}`") for n in names], F.lower(text_col))  # the last column, whatever the names
     span = pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            data, starts = textio.column_bytes(batch.column(lower))
+            data, starts = textio.column_bytes(batch.column(len(names)))
             for a, z in textio.blocks(starts, 2_000_000):
                 found = _label_block(model, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], penalty)
                 kept = [batch.column(i).slice(a, z - a) for i in range(len(names))]

@@ -30,7 +30,7 @@ from tickerpulse.llm import textio
 from tickerpulse.llm.components import connected, local_roots
 from tickerpulse.llm.minhash import band_hashes, bands_for
 from tickerpulse.llm.ngram_join import verify
-from tickerpulse.llm.stored import stored
+from tickerpulse.llm.stored import free_name, stored
 from tickerpulse.session import cut_lineage
 
 BAND_ROWS = 4
@@ -196,17 +196,18 @@ def without(df: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> Data
     """``df`` with the stretches of ``spans`` cut out of its texts, from the first word to the last of each; white space
     and punctuation around stay. Lines that lose all their words go with their line break."""
     fields = df.schema.fields
-    cuts = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_cuts"))
-    joined = df.join(cuts, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    own, at = free_name(df, "_id"), free_name(df, "_cuts")
+    cuts = spans.groupBy(F.col("doc_id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias(at))
+    joined = df.join(cuts, F.col(id_col) == F.col(own), "left").drop(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_cut(t, c) for t, c in zip(batch.column(text_col).to_pylist(), batch.column("_cuts").to_pylist(), strict=True)]
+            texts = [_cut(t, c) for t, c in zip(batch.column(text_col).to_pylist(), batch.column(at).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    changed = joined.where("_cuts IS NOT NULL").mapInArrow(run, df.schema)
-    return joined.where("_cuts IS NULL").drop("_cuts").unionByName(changed)
+    changed = joined.where(F.col(at).isNotNull()).mapInArrow(run, df.schema)
+    return joined.where(F.col(at).isNull()).drop(at).unionByName(changed)
 
 
 def _cut(text: str, cuts: list[dict]) -> str:

@@ -122,12 +122,12 @@ def encode_block(path: str, data: np.ndarray, starts: np.ndarray) -> tuple[np.nd
 
 def encode(df: DataFrame, text_col: str, model: str, out_col: str = "ids") -> DataFrame:
     """Adds the ids of every whole text as ``array<int>``."""
-    marked, fields = "_marked", [f for f in df.schema.fields if f.name != out_col]
-    source = df.select(*[F.col(f"`{f.name}`") for f in fields], _marked(F.col(text_col)).alias(marked))
+    fields = [f for f in df.schema.fields if f.name != out_col]
+    source = df.select(*[F.col(f"`{f.name}`") for f in fields], _marked(F.col(text_col)))  # the last column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = textio.column_bytes(batch.column(marked))
+            data, starts = textio.column_bytes(batch.column(len(fields)))
             for a, z in textio.blocks(starts):
                 ids, at = encode_block(model, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a])
                 kept = [batch.column(i).slice(a, z - a) for i in range(len(fields))]
