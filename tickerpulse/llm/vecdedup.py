@@ -114,7 +114,8 @@ def near_duplicates(df: DataFrame, id_col: str, vector_col: str, label_col: str,
     n = placed.groupBy("label", "d", "strip").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
     beside = lambda k, name: n.select("label", "d", (F.col("strip") + k).alias("strip"), F.col("n").alias(name))
     keys = ["label", "d", "strip"]
-    n = n.join(beside(1, "below"), keys, "left").join(beside(-1, "above"), keys, "left")
+    # Written, so that the join with a crowded strip is one of plain tables, which Spark can split or broadcast by size.
+    n = cut_lineage(n.join(beside(1, "below"), keys, "left").join(beside(-1, "above"), keys, "left"))
     blocked = placed.join(n, keys).withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda strip, across, one, two, side: F.struct(strip.alias("strip"), F.lit(across).alias("across"), one.alias("one"), two.alias("two"), side.alias("side"))
