@@ -101,14 +101,21 @@ def test_context_negates_and_boosts(spark):
     assert [r[1] for r in rows(out.select("id", "s"), "id")] == [score(2.0), score(-1.48), score(2.293), score(1.707), 0.0]
 
 
-def test_a_dictionary_too_big_to_broadcast_gives_the_same(spark, monkeypatch):
-    from tickerpulse.operators import sides
-
+def test_texts_under_one_id_are_scored_apart(spark):
     lexicon = spark.createDataFrame([("good", 2.0), ("bad", -3.0)], LEXICON)
-    texts = _tokens(spark, "good bad", "plain")
-    small = rows(L.score_tokens(texts, "id", "w", lexicon, "s").select("id", "s"), "id")
-    monkeypatch.setattr(sides.join_checked, "__defaults__", ("inner", 1))
-    assert rows(L.score_tokens(texts, "id", "w", lexicon, "s").select("id", "s"), "id") == small
+    lemmas = spark.createDataFrame([("better", "good")], LEMMAS)
+    texts = spark.createDataFrame([(1, ["better"]), (1, ["bad"]), (1, ["bad"]), (2, ["plain"])], "id int, w array<string>")
+    score = lambda v: round(v / (v * v + 15) ** 0.5, 4)
+    want = [("bad", "bad", score(-3.0)), ("bad", "bad", score(-3.0)), ("better", "good", score(2.0)), ("plain", "plain", 0.0)]
+    out = L.lemmatize_and_score(texts, "id", "w", lemmas, lexicon, "l", "s")
+    assert rows(out.selectExpr("w[0]", "l[0]", "s"), "w[0]") == want
+    assert [r[2] for r in rows(L.score_with_context(texts, "id", "w", lexicon, "s"), "w")] == [score(-3.0), score(-3.0), 0.0, 0.0]
+
+
+def test_apostrophes_stay_in_words_and_negate(spark):
+    df = spark.createDataFrame([("I won't say isn't it good? It’s 'quoted'",)], "t string")
+    assert df.select(T.words_refined("t")).first()[0] == ["say", "good", "quoted"]
+    assert df.select(T.words_in_context("t")).first()[0] == ["i", "wont", "say", "isnt", "it", "good", "its", "quoted"]
 
 
 def _raw(spark):
@@ -135,3 +142,11 @@ def test_raw_to_trusted_in_all_cleanings(spark):
         got = rows(out.select("ticker", "tweet_id", "total_engagement", "post_date", "bow", "sentiment"), "ticker")
         day = datetime.date(2015, 1, 1)
         assert got == [("AAPL", 1, 6, day, bow, "positive"), ("GOOG", 1, 6, day, bow, "positive"), ("GOOGL", 2, 0, day, "", "neutral")]
+
+
+def test_context_scoring_in_the_job(spark):
+    posts = spark.createDataFrame([(1, "w", 1420070457, "don't call it good", 0, 0, 0), (1, "w", 1420070457, "good", 0, 0, 0)], POSTS)
+    links = spark.createDataFrame([(1, "AAPL")], POST_TICKERS)
+    lexicon = spark.createDataFrame([("good", 2.0)], LEXICON)
+    moods = lambda how: sorted(r[0] for r in raw_to_trusted(posts, links, lexicon, scoring=how).select("sentiment").collect())
+    assert moods("sum") == ["positive", "positive"] and moods("context") == ["negative", "positive"]

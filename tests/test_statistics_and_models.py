@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tickerpulse.operators import balance as B
-from tickerpulse.operators import explore, models, mvstats, neighbors, outliers
+from tickerpulse.operators import common, explore, models, mvstats, neighbors, outliers, tfidf
 from tickerpulse.operators.quantiles import exact_quantile_columns, values_at_ranks
 from tickerpulse.plans.modelling import refined_to_model
 
@@ -125,29 +125,65 @@ def test_outliers_one_at_a_time(spark):
     assert sorted(r["id"] for r in kept.select("id").collect()) == list(range(4, 200))
 
 
-def test_outliers_in_rounds_never_exceed_the_share(spark, monkeypatch):
+def test_outliers_in_rounds_never_exceed_the_share(spark):
     random = np.random.default_rng(5)
     pdf = pd.DataFrame(random.standard_t(2, size=(600, 2)), columns=["a", "b"]).assign(id=range(600), y=["p", "p", "q"] * 200)
     df = spark.createDataFrame(pdf)
     kept = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200, per_round=15)
     counts = dict(rows(kept.groupBy("y").count()))
     assert 360 <= counts["p"] < 400 and 180 <= counts["q"] < 200
-    # The path for big classes takes the same rows.
-    monkeypatch.setattr(outliers, "SMALL_CLASS", 1)
-    again = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200, per_round=15)
-    assert rows(again.select("id"), "id") == rows(kept.select("id"), "id")
 
 
-def test_moments_give_the_kurtosis_of_projections(spark, monkeypatch):
+def test_moments_give_the_kurtosis_of_projections(spark):
     random = np.random.default_rng(6)
     x, u = random.exponential(size=(400, 3)), random.normal(size=(5, 3))
     df = spark.createDataFrame([("p", *v.tolist()) for v in x], "label string, x0 double, x1 double, x2 double")
     centre, spread = {"p": x.mean(0)}, {"p": x.std(0)}
     p = ((x - x.mean(0)) / x.std(0)) @ u.T
     want = ((p - p.mean(0)) ** 4).mean(0) / p.var(0) ** 2 - 3
-    assert np.allclose(outliers._kurtoses(df, centre, spread, u)["p"], want)
-    monkeypatch.setattr(outliers, "MAX_MOMENT_FEATURES", 1)
-    assert np.allclose(outliers._kurtoses(df, centre, spread, u)["p"], want)
+    for method in outliers.METHODS:
+        assert np.allclose(outliers._kurtoses(df, centre, spread, u, method)["p"], want)
+
+
+def test_kurtosis_with_a_large_mean_null_keys_and_constants(spark):
+    random = np.random.default_rng(2)
+    x = random.normal(size=(600, 3)) + 1e6
+    keys = ["a", None, "a"] * 200
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)] + [("c", [5.0, 5.0, 5.0])] * 4, "k string, x array<double>")
+    u = random.normal(size=(5, 3))
+    got = {(r["k"], r["direction"]): r["kurtosis"] for r in mvstats.projected_kurtosis(df, "x", u, ["k"], block=2).collect()}
+    for k in ("a", None):
+        own = (x[[i for i, other in enumerate(keys) if other == k]] - 1e6) @ u.T
+        want = ((own - own.mean(0)) ** 4).mean(0) / own.var(0) ** 2 - 3
+        assert np.allclose([got[k, d] for d in range(5)], want, atol=1e-4)
+    assert all(got["c", d] is None for d in range(5)) and len(got) == 15
+
+
+def test_a_constant_class_keeps_its_rows(spark):
+    rows_ = [(i, "c", 1.0, 2.0) for i in range(20)] + [(100 + i, "v", float(i % 7), float(i * i % 11)) for i in range(40)] + [(999, "v", 90.0, 90.0)]
+    df = spark.createDataFrame(rows_, "id int, y string, a double, b double")
+    for method in outliers.METHODS:
+        kept = {r["id"] for r in outliers.remove_outliers(df, "y", "id", ["a", "b"], per_round=1, share=0.02, directions=50, method=method).collect()}
+        assert kept >= set(range(20)) and 999 not in kept
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (None, 8.0), ("a", 2.0), ("a", 4.0)], "k string, v double")
+    stats = {r["k"]: (r["mean"], r["median"]) for r in explore.class_statistics(df, ["v"], "k").collect()}
+    assert stats == {None: (4.0, 3.0), "a": (3.0, 3.0)}
+    assert {r["k"]: r["median"] for r in explore.box_plot(df, ["v"], "k").collect()} == {None: 3.0, "a": 3.0}
+    assert sum(r["n"] for r in explore.histogram(df, ["v"], ["k"], 2).filter("k IS NULL").collect()) == 3
+    assert explore.kernel_density(df, ["v"], ["k"], 3).filter("k IS NULL").count() == 3
+    assert explore.z_scores(df, ["v"], ["k"]).count() == 5
+    assert {tuple(r) for r in common.rows_at_extreme(df, "v", True, ["k"]).collect()} == {(None, 8.0), ("a", 4.0)}
+    train, test = models.stratified_split(df, "k", "v", share=0.67)
+    assert train.filter("k IS NULL").count() == 2 and test.filter("k IS NULL").count() == 1
+
+
+def test_tfidf_of_a_null_group(spark):
+    docs = spark.createDataFrame([(None, 1, "red blue", 1), (None, 2, "green grey", 1), ("a", 3, "red blue", 1), ("a", 4, "green grey", 1)], "g string, d int, t string, e int")
+    assert {tuple(r) for r in tfidf.dispersion(docs, ["g"], "d", "t", "e").collect()} == {(None, 1.0), ("a", 1.0)}
+    assert tfidf.mean_similarity(docs, ["g"], "d", "t").filter("g IS NULL").count() == 2
 
 
 def test_balance_keeps_class_means(spark):
@@ -214,6 +250,6 @@ def test_model_comparison_on_separable_classes(spark):
     y = np.arange(240) % 3
     pdf = pd.DataFrame(random.normal(size=(240, 3)) + 6 * np.eye(3)[y], columns=["a", "b", "c"]).assign(y=y, id=range(240))
     pdf = pdf[(pdf.y < 2) | (pdf.id % 2 == 0)]
-    report = refined_to_model(spark.createDataFrame(pdf), "y", "id", ["a", "b", "c"], directions=200, neighbours=5).collect()
-    assert {(r["model"], r["sample"]) for r in report} == {("logistic", "train"), ("logistic", "test"), ("tree", "train"), ("tree", "test"), ("neighbours", "test")}
+    report = refined_to_model(spark.createDataFrame(pdf), "y", "id", ["a", "b", "c"], directions=200, neighbours=5, per_round=None).collect()
+    assert {(r["model"], r["sample"]) for r in report} == {("logistic", "train"), ("logistic", "test"), ("tree", "train"), ("tree", "test"), ("neighbours", "train"), ("neighbours", "test")}
     assert all(r["accuracy"] > 0.85 and r["answered"] + r["unanswered"] == r["n"] for r in report)

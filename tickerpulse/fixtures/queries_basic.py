@@ -13,7 +13,7 @@ from tickerpulse.fixtures.tables import links, order_prices, posts, prices, seco
 from tickerpulse.functions import columns as C
 from tickerpulse.operators import common, daily, enrich, explore, quality
 from tickerpulse.operators import prices as P
-from tickerpulse.session import shared_dir
+from tickerpulse.session import work_path
 from tickerpulse.sources import io, schemas
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -399,7 +399,7 @@ FROM t, (SELECT unnest(['parquet', 'json', 'csv', 'view']) AS format) GROUP BY 1
 def export_formats(spark, sf_dir):
     grouped = enrich.with_ticker_groups(posts(spark, sf_dir), links(spark, sf_dir))
     rows = enrich.by_ticker(grouped)
-    root = f"{shared_dir(spark)}/tickerpulse-exports/{uuid4().hex}"
+    root = work_path(spark, "exports")
     plain = rows.drop("ticker")
     io.write_by_ticker(rows, f"{root}/parquet")
     back = {"parquet": io.read_parquet(spark, f"{root}/parquet")}
@@ -407,9 +407,11 @@ def export_formats(spark, sf_dir):
     io.write_csv(back["parquet"].select(*plain.columns, "ticker"), f"{root}/csv", single_file=True)
     schema = StructType([*schemas.POSTS.fields, StructField("ticker", StringType())])
     back["json"] = spark.read.schema(schema).json(f"{root}/json")
-    back["csv"] = io.read_csv(spark, f"{root}/csv", schema)
-    back["parquet"].createOrReplaceTempView("trusted_posts")
-    back["view"] = io.read_catalog(spark, "trusted_posts")
+    back["csv"] = io.read_csv(spark, f"{root}/csv", schema, multi_line=True)
+    view = f"trusted_posts_{uuid4().hex}"
+    back["parquet"].createOrReplaceTempView(view)
+    back["view"] = io.read_catalog(spark, view)
+    spark.catalog.dropTempView(view)
     sums = [
         F.count(F.lit(1)).alias("n"), F.sum("comment_num").alias("comments"),
         F.sum(F.length(F.coalesce("body", F.lit("")))).alias("chars"),

@@ -13,11 +13,11 @@ from tickerpulse.plans import modelling
 from tickerpulse.session import cut_lineage
 
 ITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-VECTOR_FEATURES = [f"x{i}" for i in range(6)]
+VECTOR_FEATURES = [f"x{i}" for i in range(64)]
 
 
 def _vectors(spark, sf_dir):
-    """Embeddings with their first dimensions as feature columns."""
+    """Embeddings with their dimensions as feature columns."""
     vectors = table(spark, sf_dir, "embeddings")
     return vectors.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(VECTOR_FEATURES)])
 
@@ -88,7 +88,7 @@ def answered_by_class(spark, sf_dir):
 def outlier_projection(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     skewed = items.withColumn("l_extendedprice", F.pow("l_extendedprice", F.lit(2.0)))
-    kept = outliers.remove_outliers(skewed, "l_returnflag", "row_id", ITEM_FEATURES)
+    kept = outliers.remove_outliers(skewed, "l_returnflag", "row_id", ITEM_FEATURES, per_round=None)
     return kept.select("l_returnflag", "row_id", *ITEM_FEATURES)
 
 
@@ -157,9 +157,9 @@ def hashing_tf_idf(spark, sf_dir):
 @query("word2vec")
 def word2vec(spark, sf_dir):
     docs = documents(spark, sf_dir).select(words_refined("text").alias("words"))
-    return models.word_vectors(docs, "words", size=16)
+    return models.word_vectors(docs, "words")
 
 
 @query("refined_to_model")
 def refined_to_model(spark, sf_dir):
-    return modelling.refined_to_model(_vectors(spark, sf_dir), "label", "vec_id", VECTOR_FEATURES, directions=2000)
+    return modelling.refined_to_model(_vectors(spark, sf_dir), "label", "vec_id", VECTOR_FEATURES, per_round=None, method="projection")

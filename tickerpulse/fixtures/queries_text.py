@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from tickerpulse.functions import text as T
 from tickerpulse.functions.columns import class_code, score_class
 from tickerpulse.operators import daily, lexicon as L, models, tfidf
 from tickerpulse.plans import refined, reports, trusted
-from tickerpulse.session import shared_dir
+from tickerpulse.session import work_path
 from tickerpulse.sources import io
 
 GROUP = ["source", "lang"]
@@ -254,7 +253,7 @@ sums AS (SELECT ticker, date, sentiment, sum(e) AS sum_eng FROM docs GROUP BY AL
 content AS (SELECT ticker, date, sum(dispersion * sum_eng) / nullif(sum(sum_eng), 0) AS dispersion_tweets_content
   FROM dispersions JOIN sums USING (ticker, date, sentiment) GROUP BY ALL),
 weighted AS (SELECT ticker, post_date AS date, CASE WHEN sum(total_engagement) = 0 THEN 0.0
-  ELSE sum(total_engagement * score_vader) / sum(total_engagement) END AS weighted_vader FROM trusted GROUP BY ALL),
+  ELSE CAST(sum(CAST(total_engagement * score_vader AS DECIMAL(38, 12))) AS DOUBLE) / sum(total_engagement) END AS weighted_vader FROM trusted GROUP BY ALL),
 refined AS (SELECT ticker, date,
     {', '.join(f"CAST(coalesce(sum(e) FILTER (sentiment = '{c}'), 0) AS BIGINT) AS sum_eng_{c}, count(*) FILTER (sentiment = '{c}') / count(*) AS {c}" for c in ('negative', 'neutral', 'positive'))},
     count(*) AS n_tweets, any_value(dispersion_tweets_content) AS dispersion_tweets_content, any_value(Y) AS Y, any_value(Y2) AS Y2
@@ -264,7 +263,7 @@ _ROUNDED = ["negative", "neutral", "positive", "dispersion_tweets_content", "Y2"
 
 def _trusted_zone(spark, sf_dir):
     """The trusted table as the first job leaves it: written per ticker and read back."""
-    path = f"{shared_dir(spark)}/tickerpulse-trusted/{uuid4().hex}"
+    path = work_path(spark, "trusted")
     io.write_by_ticker(_trusted(spark, sf_dir), path)
     return io.read_parquet(spark, path)
 
@@ -307,10 +306,10 @@ def peak_report(spark, sf_dir):
 d AS (SELECT ticker, date, Y2, weighted_vader, row_number() OVER (PARTITION BY ticker ORDER BY date) AS day_no FROM refined JOIN weighted USING (ticker, date)),
 m AS (SELECT ticker, avg(Y2) AS my, stddev_pop(Y2) AS sy, avg(weighted_vader) AS mw, stddev_pop(weighted_vader) AS sw FROM d GROUP BY 1)
 SELECT ticker, strftime(date, '%Y-%m-%d') AS day, CAST(day_no AS INTEGER) AS day_no, round((weighted_vader - mw) / sw, 5) + 0.0 AS z_weighted_vader, round((Y2 - my) / sy, 5) + 0.0 AS z_Y2
-FROM d JOIN m USING (ticker) WHERE day_no <= 20""")
+FROM d JOIN m USING (ticker) WHERE day_no <= 50""")
 def series_compare(spark, sf_dir):
     _, features, weighted = _daily(spark, sf_dir)
-    out = reports.sentiment_against_price(features, weighted, days=20)
+    out = reports.sentiment_against_price(features, weighted, days=50)
     z = [(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("z_weighted_vader", "z_Y2")]
     return out.select("ticker", _text("date").alias("day"), "day_no", *z)
 

@@ -55,7 +55,8 @@ LABELS = """labels_of_day AS (
 
 
 def words(text: str) -> str:
-    return f"regexp_extract_all({text}, '{WORDS}')"
+    quoted = WORDS.replace("'", "''")
+    return f"regexp_extract_all({text}, '{quoted}')"
 
 
 def terms(text: str) -> str:

@@ -25,11 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts. A table of few files, as in the tests, is one task's work to read; its rows are then
-    spread by key, so that tokenizing runs on all cores. A table of many files is left as it is.
-    """
-    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+    """The texts."""
+    return table(spark, sf_dir, "documents")
 
 
 def lexicon(spark: SparkSession) -> DataFrame:

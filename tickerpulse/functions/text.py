@@ -13,8 +13,8 @@ from tickerpulse.functions.stopwords import ENGLISH
 
 # Fixed value: cash-tags and links.
 TAGS_AND_LINKS = r"\$\S+|http\S+"
-# Words keep inner hyphens, dots, slashes and the like; every other visible character is its own token.
-WORDS = r"[\p{L}\p{N}]+(?:[-./_+*=~^|\\’][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+# Words keep inner apostrophes, hyphens, dots, slashes and the like; every other visible character is its own token.
+WORDS = r"[\p{L}\p{N}]+(?:[-./_+*=~^|\\’'][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
 # Terms as the tf-idf vectorizer sees them: two or more word characters.
 TERMS = r"[\p{L}\p{N}_]{2,}"
 
@@ -47,6 +47,13 @@ def words_refined(body: str | Column, stop_words: Sequence[str] = ENGLISH) -> Co
     return drop_words(F.transform(letters, F.lower), stop_words)
 
 
+def words_in_context(body: str | Column) -> Column:
+    """Tags and links removed, lower case, apostrophes dropped, so that "don't" is the negator "dont"; all words stay,
+    stop words too, as they may change the score of the next."""
+    bare = F.transform(word_tokens(strip_tags_and_links(body)), lambda t: F.regexp_replace(F.lower(t), "['’]", ""))
+    return F.filter(bare, lambda t: t.rlike(r"^\p{L}+$"))
+
+
 def words_stripped(body: str | Column, stop_words: Sequence[str] = ENGLISH) -> Column:
     """Every token reduced to its ASCII letters and digits, longer than one, lower case, not numeric, no stop words."""
     tokens = alphanumeric_only(word_tokens(body))

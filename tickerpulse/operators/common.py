@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; a NULL key meets a NULL key. The columns are those of a join by name."""
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
@@ -63,7 +70,8 @@ def rows_at_extreme(df: DataFrame, col: str, largest: bool = True, keys: Sequenc
     """Rows that hold the maximum (or minimum) of ``col``, ties included, overall or per key.
 
     The extreme is an aggregate merged before the shuffle and joined back by equality, so neither a
-    big key nor a big tie is gathered in one task.
+    big key nor a big tie is gathered in one task. A NULL key is a key; a key whose values are all NULL has no extreme.
     """
-    extreme = (F.max if largest else F.min)(col).alias(col)
-    return df.join(df.groupBy(*keys).agg(extreme), [*keys, col], "left_semi").select(*df.columns)
+    extreme = df.groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys]).agg((F.max if largest else F.min)(col).alias("_extreme"))
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return df.join(extreme, [*same, F.col(col) == F.col("_extreme")], "left_semi").select(*df.columns)

@@ -1,7 +1,8 @@
 """Lemmas and sentiment from dictionary tables.
 
 A dictionary is an input table. The texts' tokens are exploded and inner-joined with it, so only the
-hits travel; it is broadcast when a count proves it small and shuffled otherwise.
+hits travel; whether the dictionary is broadcast is left to Spark, which knows its size. Hits are gathered per key and
+token list: two texts under one key stay apart, and a row that stands twice counts its hits once.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerpulse.operators.sides import join_checked
-
 # Fixed values of the published lexicon method.
 NORMALISER = 15.0
 NEGATION_FACTOR = -0.74
@@ -55,29 +54,39 @@ def dictionary(lemmas: DataFrame | None = None, lexicon: DataFrame | None = None
 def lookup(df: DataFrame, key: str, tokens: str | Column, entries: DataFrame) -> DataFrame:
     """One row per text with a hit: the lemmas of its forms (a map) and the sum of its valences.
 
-    ``key`` identifies the text; each text's hits are summed before they are shuffled.
+    A text is told by ``key`` and ``_tokens_hash``. Its hits are at most its tokens.
     """
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
     # The outer form keeps Spark from testing the token expression once more before it explodes it.
-    hits = join_checked(df.select(key, F.explode_outer(tokens).alias("form")), entries, "form")
-    return hits.groupBy(key).agg(
-        F.sum("valence").alias("valence_sum"),
-        F.map_from_entries(
-            F.collect_set(F.when(F.col("lemma").isNotNull(), F.struct("form", "lemma")))
-        ).alias("lemma_of"),
+    exploded = df.select(key, _tokens_hash(tokens), F.posexplode_outer(tokens).alias("pos", "form"))
+    hits = exploded.join(entries, "form").groupBy(key, "_tokens_hash").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "form", "lemma", "valence"))).alias("_hits")
     )
+    total = F.aggregate("_hits", F.lit(None).cast("double"), lambda acc, h: F.coalesce(acc + h["valence"], acc, h["valence"]))
+    known = F.transform(F.filter("_hits", lambda h: h["lemma"].isNotNull()), lambda h: F.struct(h["form"], h["lemma"]))
+    return hits.select(key, "_tokens_hash", total.alias("valence_sum"), F.map_from_entries(F.array_distinct(known)).alias("lemma_of"))
+
+
+def _tokens_hash(tokens: str | Column) -> Column:
+    return F.xxhash64(tokens).alias("_tokens_hash")
+
+
+def _with_found(df: DataFrame, key: str, tokens: str | Column, found: DataFrame) -> DataFrame:
+    """``df`` with what was found for each row's own tokens."""
+    same = [F.col(key) == F.col("_found_key"), F.xxhash64(tokens) == F.col("_tokens_hash")]
+    return df.join(found.withColumnRenamed(key, "_found_key"), same, "left").drop("_found_key", "_tokens_hash")
 
 
 def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame, out: str = "lemmatized_tokens") -> DataFrame:
     """Each token replaced by its lemma where the table has one; order and repeats stay."""
-    found = lookup(df, key, F.array_distinct(tokens), dictionary(lemmas=lemmas)).select(key, "lemma_of")
-    return _apply_lemmas(df.join(found, key, "left"), tokens, out).drop("lemma_of")
+    found = lookup(df, key, tokens, dictionary(lemmas=lemmas)).drop("valence_sum")
+    return _apply_lemmas(_with_found(df, key, tokens, found), tokens, out).drop("lemma_of")
 
 
 def score_tokens(df: DataFrame, key: str, tokens: str | Column, lexicon: DataFrame, out: str = "score_vader") -> DataFrame:
     """Compound score of each text; no hit or no text gives 0."""
-    found = lookup(df, key, tokens, dictionary(lexicon=lexicon)).select(key, "valence_sum")
-    return df.join(found, key, "left").withColumn(out, compound(F.col("valence_sum"))).drop("valence_sum")
+    found = lookup(df, key, tokens, dictionary(lexicon=lexicon)).drop("lemma_of")
+    return _with_found(df, key, tokens, found).withColumn(out, compound(F.col("valence_sum"))).drop("valence_sum")
 
 
 def lemmatize_and_score(
@@ -86,7 +95,7 @@ def lemmatize_and_score(
 ) -> DataFrame:
     """Both at once: one pass over the tokens, one shuffle of the hits, one join."""
     found = lookup(df, key, tokens, dictionary(lemmas, lexicon))
-    joined = df.join(found, key, "left").withColumn(score, compound(F.col("valence_sum")))
+    joined = _with_found(df, key, tokens, found).withColumn(score, compound(F.col("valence_sum")))
     return _apply_lemmas(joined, tokens, out).drop("lemma_of", "valence_sum")
 
 
@@ -95,8 +104,10 @@ def score_with_context(
     negators: Sequence[str] = NEGATORS, up: Sequence[str] = BOOSTERS_UP, down: Sequence[str] = BOOSTERS_DOWN,
 ) -> DataFrame:
     """Compound score in which the three tokens before a hit may strengthen, weaken or negate it."""
-    hits = join_checked(df.select(key, F.explode_outer(F.array_distinct(tokens)).alias("token")), lexicon, "token")
-    valences = hits.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_valences"))
+    exploded = df.select(key, _tokens_hash(tokens), F.explode_outer(F.array_distinct(tokens)).alias("token"))
+    valences = exploded.join(lexicon, "token").groupBy(key, "_tokens_hash").agg(
+        F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_valences")
+    )
     words, known = F.col(tokens), F.col("_valences")
 
     def in_context(token: Column, i: Column) -> Column:
@@ -112,7 +123,7 @@ def score_with_context(
         return F.coalesce(adjusted, F.lit(0.0))
 
     total = F.aggregate(F.transform(words, in_context), F.lit(0.0), lambda acc, v: acc + v)
-    scored = df.join(valences, key, "left")
+    scored = _with_found(df, key, tokens, valences)
     return scored.withColumn(out, compound(F.when(known.isNotNull(), total))).drop("_valences")
 
 

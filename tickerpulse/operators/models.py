@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickerpulse.functions.columns import argmax
 from tickerpulse.functions.stopwords import ENGLISH
+from tickerpulse.operators.common import join_null_safe
 from tickerpulse.operators.quantiles import values_at_ranks
 
 # Fixed values of the compared models.
@@ -43,7 +44,7 @@ def stratified_split(
     ranks = sizes.select(label, F.floor(F.col("_n") * share).alias("rank"))
     cut = values_at_ranks(ranked.select(label, "_order"), [label], "_order", ranks, [share])
     cut = cut.select(label, F.col("_order").alias("_cut"))
-    marked = ranked.join(cut, label, "left").withColumn("_train", F.coalesce(F.col("_order") < F.col("_cut"), F.lit(True)))
+    marked = join_null_safe(ranked, cut, [label], "left").withColumn("_train", F.coalesce(F.col("_order") < F.col("_cut"), F.lit(True)))
     return (
         marked.filter("_train").drop("_order", "_cut", "_train"),
         marked.filter("NOT _train").drop("_order", "_cut", "_train"),
@@ -104,13 +105,14 @@ def is_sure(confidence: str = "confidence", sure_from: float = SURE_FROM, inclus
     return F.col(confidence) >= sure_from if inclusive else F.col(confidence) > sure_from
 
 
-def selective(predictions: DataFrame, label: str, sure_from: float = SURE_FROM, inclusive: bool = True) -> DataFrame:
-    """Answers only where the model is sure: counts answered and unanswered, accuracy on the answered."""
+def selective(predictions: DataFrame, label: str, sure_from: float = SURE_FROM, inclusive: bool = True, overall: bool = False) -> DataFrame:
+    """Answers only where the model is sure: counts answered and unanswered, accuracy on the answered, and with
+    ``overall`` the accuracy on all rows."""
     sure = is_sure(sure_from=sure_from, inclusive=inclusive)
-    right = F.when(sure, (F.col("prediction") == F.col(label)).cast("double"))
+    right = (F.col("prediction") == F.col(label)).cast("double")
     return predictions.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(sure).alias("answered"), F.count_if(~sure).alias("unanswered"),
-        F.avg(right).alias("accuracy_answered"),
+        F.avg(F.when(sure, right)).alias("accuracy_answered"), *[F.avg(right).alias("accuracy")] * overall,
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickerpulse.operators.balance import balance
 from tickerpulse.operators.common import union_all
 from tickerpulse.operators.models import (
-    accuracy, fit_logistic, fit_naive_bayes, fit_text_features, fit_tree, predict, random_split, scores, selective,
+    fit_logistic, fit_naive_bayes, fit_text_features, fit_tree, predict, random_split, scores, selective,
     stratified_split, to_vector,
 )
 from tickerpulse.operators.mvstats import redundant_features, scale, scaler
@@ -22,14 +22,14 @@ from tickerpulse.session import cut_lineage
 
 def refined_to_model(
     refined: DataFrame, label: str, key: str, features: Sequence[str], redundancy_cut: float = 0.99,
-    directions: int = 10_000, neighbours: int = 32, seed: int = 0,
+    directions: int = 10_000, neighbours: int = 32, seed: int = 0, per_round: int | None = 1, method: str = "moments",
 ) -> DataFrame:
     """Metrics of three classifiers: (model, sample, n, accuracy, answered, unanswered, accuracy_answered).
 
     The observed rows are split before anything is fitted: scaler, simulated rows and models see the training
     part only, and the test part holds no simulated row.
     """
-    clean = remove_outliers(refined.select(key, label, *features).dropna(), label, key, features, directions=directions, seed=seed)
+    clean = remove_outliers(refined.select(key, label, *features).dropna(), label, key, features, per_round, directions=directions, seed=seed, method=method)
     kept = [f for f in features if f not in redundant_features(clean, features, redundancy_cut)]
     train, test = stratified_split(clean, label, key, seed=seed)
     balanced = balance(train, label, kept, seed=seed)
@@ -47,16 +47,14 @@ def refined_to_model(
             reports.append(_report(name, sample, predict(model, rows, key, label), label, inclusive))
     as_array = vector_to_array("features").alias("x")
     known, asked = train_set.select(key, label, as_array), test_set.select(key, label, as_array)
-    votes = vote(nearest(asked, known, key, "x", label, neighbours), key)
-    predictions = classify(votes, key).join(asked.select(key, label), key)
-    reports.append(_report("neighbours", "test", predictions, label, True))
+    for sample, rows in (("train", known), ("test", asked)):
+        votes = vote(nearest(rows, known, key, "x", label, neighbours), key)
+        reports.append(_report("neighbours", sample, classify(votes, key).join(rows.select(key, label), key), label, True))
     return union_all(*reports)
 
 
 def _report(name: str, sample: str, predictions: DataFrame, label: str, inclusive: bool) -> DataFrame:
-    sure = selective(predictions, label, inclusive=inclusive)
-    right = accuracy(predictions, label).select("accuracy", F.col("n").alias("_n"))
-    report = sure.join(right, sure["n"] == right["_n"]).drop("_n")
+    report = selective(predictions, label, inclusive=inclusive, overall=True)
     return report.select(F.lit(name).alias("model"), F.lit(sample).alias("sample"), "n", "accuracy", "answered", "unanswered", "accuracy_answered")
 
 
