@@ -121,7 +121,7 @@ def test_outliers_one_at_a_time(spark):
     random = np.random.default_rng(4)
     pdf = pd.DataFrame(random.normal(size=(200, 3)), columns=["a", "b", "c"]).assign(id=range(200), y=["p", "q"] * 100)
     pdf.loc[pdf.id < 4, ["a", "b", "c"]] = 25.0
-    kept = outliers.remove_outliers(spark.createDataFrame(pdf), "y", "id", ["a", "b", "c"], share=0.02, directions=500, per_round=1)
+    kept = outliers.remove_outliers(spark.createDataFrame(pdf), "y", "id", ["a", "b", "c"], share=0.02, directions=500, per_round=1, class_per_task=True)
     assert sorted(r["id"] for r in kept.select("id").collect()) == list(range(4, 200))
 
 
@@ -132,6 +132,8 @@ def test_outliers_in_rounds_never_exceed_the_share(spark):
     kept = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200, per_round=15)
     counts = dict(rows(kept.groupBy("y").count()))
     assert 360 <= counts["p"] < 400 and 180 <= counts["q"] < 200
+    again = outliers.remove_outliers(df, "y", "id", ["a", "b"], directions=200, per_round=15, class_per_task=True)
+    assert rows(again.select("id"), "id") == rows(kept.select("id"), "id")
 
 
 def test_moments_give_the_kurtosis_of_projections(spark):
@@ -163,7 +165,7 @@ def test_a_constant_class_keeps_its_rows(spark):
     rows_ = [(i, "c", 1.0, 2.0) for i in range(20)] + [(100 + i, "v", float(i % 7), float(i * i % 11)) for i in range(40)] + [(999, "v", 90.0, 90.0)]
     df = spark.createDataFrame(rows_, "id int, y string, a double, b double")
     for method in outliers.METHODS:
-        kept = {r["id"] for r in outliers.remove_outliers(df, "y", "id", ["a", "b"], per_round=1, share=0.02, directions=50, method=method).collect()}
+        kept = {r["id"] for r in outliers.remove_outliers(df, "y", "id", ["a", "b"], per_round=1, share=0.02, directions=50, method=method, class_per_task=True).collect()}
         assert kept >= set(range(20)) and 999 not in kept
 
 
@@ -250,6 +252,6 @@ def test_model_comparison_on_separable_classes(spark):
     y = np.arange(240) % 3
     pdf = pd.DataFrame(random.normal(size=(240, 3)) + 6 * np.eye(3)[y], columns=["a", "b", "c"]).assign(y=y, id=range(240))
     pdf = pdf[(pdf.y < 2) | (pdf.id % 2 == 0)]
-    report = refined_to_model(spark.createDataFrame(pdf), "y", "id", ["a", "b", "c"], directions=200, neighbours=5, per_round=None).collect()
+    report = refined_to_model(spark.createDataFrame(pdf), "y", "id", ["a", "b", "c"], directions=200, neighbours=5, per_round=None, class_per_task=True).collect()
     assert {(r["model"], r["sample"]) for r in report} == {("logistic", "train"), ("logistic", "test"), ("tree", "train"), ("tree", "test"), ("neighbours", "train"), ("neighbours", "test")}
     assert all(r["accuracy"] > 0.85 and r["answered"] + r["unanswered"] == r["n"] for r in report)

@@ -23,13 +23,14 @@ from tickerpulse.session import cut_lineage
 def refined_to_model(
     refined: DataFrame, label: str, key: str, features: Sequence[str], redundancy_cut: float = 0.99,
     directions: int = 10_000, neighbours: int = 32, seed: int = 0, per_round: int | None = 1, method: str = "moments",
+    class_per_task: bool = False,
 ) -> DataFrame:
     """Metrics of three classifiers: (model, sample, n, accuracy, answered, unanswered, accuracy_answered).
 
     The observed rows are split before anything is fitted: scaler, simulated rows and models see the training
     part only, and the test part holds no simulated row.
     """
-    clean = remove_outliers(refined.select(key, label, *features).dropna(), label, key, features, per_round, directions=directions, seed=seed, method=method)
+    clean = remove_outliers(refined.select(key, label, *features).dropna(), label, key, features, per_round, directions=directions, seed=seed, method=method, class_per_task=class_per_task)
     kept = [f for f in features if f not in redundant_features(clean, features, redundancy_cut)]
     train, test = stratified_split(clean, label, key, seed=seed)
     balanced = balance(train, label, kept, seed=seed)
