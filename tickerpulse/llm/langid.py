@@ -214,7 +214,7 @@ def label(df: DataFrame, text_col: str, model: Model, penalty: float = 6.0, out:
         model = shared.value
         for batch in batches:
             data, starts = textio.column_bytes(batch.column(len(names)))
-            for a, z in textio.blocks(starts, 1_000_000):
+            for a, z in textio.blocks(starts, 4_000_000):
                 found = _label_block(model, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], penalty)
                 kept = [batch.column(i).slice(a, z - a) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], [*names, out])
@@ -229,8 +229,13 @@ def _label_block(model: Model, data: np.ndarray, starts: np.ndarray, penalty: fl
     nothing = {"lang": UNDETERMINED, "score": 0.0, "spans": []}
     if not n_langs:
         return [nothing] * n
-    grams, word, text, masks = word_grams(data, starts, len(model.weights))
-    chosen = viterbi(word_scores(model, grams, word, masks), text, n, penalty)
+    # N-grams take memory, so few texts at a time; Viterbi takes steps as long as the longest text, so many at a time.
+    parts = []
+    for a, z in textio.blocks(starts, 1_000_000):
+        grams, word, text, masks = word_grams(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], len(model.weights))
+        parts.append((word_scores(model, grams, word, masks), text + a))
+    scores, text = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros((0, n_langs)), np.zeros(0, np.int64))
+    chosen = viterbi(scores, text, n, penalty)
     votes = np.bincount(text * n_langs + chosen, minlength=n * n_langs).reshape(n, n_langs)
     total, winner = votes.sum(1), votes.argmax(1)
     first = np.cumsum(total) - total
