@@ -155,6 +155,27 @@ def test_paragraphs(spark):
     assert paragraphs.removals(df.limit(0), "doc_id", "h").count() == 0
 
 
+def test_short_lines_and_near_passages(spark):
+    rng = random.Random(18)
+    line, passage, refrain = prose(rng, 9), prose(rng, 100), [w for x in prose(rng, 30) for w in ("tra", "la", x)]
+    texts, at = {}, {}
+    for i in range(40):
+        words, own = prose(rng, 60), list(passage)
+        if i:  # two changed words about 33 apart
+            k = rng.randrange(30, 36)
+            own[k], own[2 * k] = f"x{i}", f"y{i}"
+        if i % 2:  # over several short lines, else inside one
+            own = [w + "\n" * (k % 11 == i % 11) for k, w in enumerate(own)]
+        at[i] = rng.randrange(10, 50)
+        texts[i] = " ".join(words[: at[i]] + own + words[at[i] :])
+    texts |= {i: " ".join(prose(rng, 20) + ["\n", *line, "\n"] + prose(rng, 20)) for i in range(40, 44)}
+    texts |= {i: " ".join(prose(rng, 20) + refrain + prose(rng, 20)) for i in range(44, 48)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["first_word"], r["n_words"], r["kept_in"][0]) for r in paragraphs.removals(df, "doc_id", "text").collect()}
+    want = {i: (at[i], 100, 0) for i in range(1, 40)} | {i: (20, 9, 40) for i in range(41, 44)} | {i: (20, 90, 44) for i in range(45, 48)}
+    assert got == want
+
+
 def test_cut_keeps_the_rest():
     assert paragraphs._cut("one, two three.\nfour five\nsix", [{"first_word": 1, "n_words": 1}, {"first_word": 3, "n_words": 2}]) == "one,  three.\nsix"
 

@@ -1,15 +1,17 @@
 """Removal of paragraphs and passages that other documents hold as well: paragraph MinHash banding.
 
-Two kinds of paragraph are compared. Words are those of the n-gram join, and a paragraph has ``min_words`` at least.
-
-* Lines. Lines of one set of word 5-grams form a class. The band hashes of the classes are shuffled, classes that
-  meet are joined to the smallest of the band (a star, no pairs), and within the components of these stars the exact
-  Jaccard coefficient decides. The links that hold are clustered by connected components.
-* Passages inside lines, which a copy has put between other words. At the smallest 5-gram hash of every ``spread``
-  in a row begins a paragraph of ``min_words`` words. It depends on the words of the passage only, so any passage of
-  ``min_words + spread - 1`` words in two documents has a whole paragraph in common. Fewer than 50 words allow
-  no change at a coefficient of 0.8, so these classes are those of equal words. Stretches in which most words
-  stand again up to ``PERIOD`` words further on, as one word over and over, are no passages.
+Two kinds of paragraph are compared. Words are those of the n-gram join.
+
+* Lines of ``min_line`` words or more. Lines of one set of word 5-grams form a class. The band hashes of the classes are
+  shuffled, classes that meet are joined to the smallest of the band (a star, no pairs), and within the components of
+  these stars the exact Jaccard coefficient decides. The links that hold are clustered by connected components.
+* Passages of ``min_words`` words or more, which may span lines or stand inside them. At the smallest 5-gram hash of every
+  ``spread`` in a row begins a seed of ``seed`` words, so any run of ``seed + spread - 1`` = 22 words in two documents has
+  a seed in common. Two passages with a coefficient of 0.8 have such a run: 5-grams that a changed word takes part
+  in are lost, so 49 words allow one change at most, and every further change needs 45 more. Every document is joined to the
+  smallest document of each of its seeds. The words around the seeds that two documents share are then compared,
+  and the longest stretches whose 5-gram sets reach the threshold count, from their first common 5-gram to the last.
+  The same ``PERIOD`` words or fewer over and over and nothing else are no passage.
 
 Of every cluster the document with the smallest id keeps its paragraphs, all others lose theirs; a document never
 loses words because they repeat within it. Rows with a NULL id and NULL or empty texts take no part. Rows that repeat
@@ -34,8 +36,9 @@ from tickerpulse.llm.stored import free_name, stored
 from tickerpulse.session import cut_lineage
 
 BAND_ROWS = 4
-PERIOD = 12
 SIZE = 5
+PERIOD = 12
+REACH = 64  # words compared on both sides of the seeds that two documents share
 
 
 def _line_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -59,28 +62,23 @@ def _set_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return textio.mix(np.add.reduceat(textio.mix(values), offsets[:-1]) + np.diff(offsets).astype(np.uint64)) if len(offsets) > 1 else np.zeros(0, np.uint64)
 
 
-def _passages(data: np.ndarray, starts: np.ndarray, min_words: int, spread: int):
-    """Text, first word and hash of every passage paragraph."""
+def _seeds(data: np.ndarray, starts: np.ndarray, seed: int, spread: int):
+    """Text, first word and hash of every seed of a passage."""
     _, _, hashes, first = textio.words(data, starts)
     n = len(hashes)
-    if n < max(min_words, SIZE + spread):
+    if n < max(seed, SIZE + spread):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     whole = textio.sequence_hashes(hashes, np.arange(n - SIZE + 1), np.arange(SIZE, n + 1))
     view = np.lib.stride_tricks.sliding_window_view(whole, spread)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(first))
     inside = owner[: len(view)] == owner[spread + SIZE - 2 :]  # all these n-grams are of one text
     at = np.unique(np.compress(inside, np.arange(len(view)) + view.argmin(1)))
-    at = at[at + min_words <= first[1:][owner[at]]]
-    again = np.zeros(len(at), np.int64)
-    for k in range(1, PERIOD + 1):
-        same = np.concatenate([[0], np.cumsum(hashes[k:] == hashes[:-k])])
-        again = np.maximum(again, same[np.minimum(at + min_words - k, n - k)] - same[at])
-    at = at[again * 2 < min_words]
-    return owner[at], at - first[owner[at]], textio.sequence_hashes(hashes, at, at + min_words)
+    at = at[at + seed <= first[1:][owner[at]]]
+    return owner[at], at - first[owner[at]], textio.sequence_hashes(hashes, at, at + seed)
 
 
-def paragraphs(rows: DataFrame, min_words: int, spread: int, bands: int) -> DataFrame:
-    """Every paragraph of ``rows`` (id, text): id, hash, first word, number of words, and band hashes (NULL for passages)."""
+def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: int) -> DataFrame:
+    """Every line and seed of ``rows`` (id, text): id, hash, first word, number of words, and band hashes (NULL for seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,12 +86,12 @@ def paragraphs(rows: DataFrame, min_words: int, spread: int, bands: int) -> Data
             data, starts = textio.column_bytes(batch.column("text"))
             for a, z in textio.blocks(starts):
                 own, place = data[starts[a] : starts[z]], starts[a : z + 1] - starts[a]
-                text, at, n, values, offsets = _lines(own, place, min_words)
+                text, at, n, values, offsets = _lines(own, place, min_line)
                 found = band_hashes(values, offsets, bands, BAND_ROWS) if len(text) else np.zeros((0, bands), np.int64)
-                other, where, hashes = _passages(own, place, min_words, spread)
+                other, where, hashes = _seeds(own, place, seed, spread)
                 columns = [
                     pa.array(ids[a:z][np.concatenate([text, other])]), pa.array(np.concatenate([_set_hashes(values, offsets), hashes]).view(np.int64)),
-                    pa.array(np.concatenate([at, where]), pa.int32()), pa.array(np.concatenate([n, np.full(len(other), min_words)]), pa.int32()),
+                    pa.array(np.concatenate([at, where]), pa.int32()), pa.array(np.concatenate([n, np.full(len(other), seed)]), pa.int32()),
                     pa.concat_arrays([textio.lists(found.reshape(-1), np.arange(len(text) + 1) * bands, pa.int64()), pa.nulls(len(other), pa.list_(pa.int64()))]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "h", "first_word", "n_words", "bands"])
@@ -101,7 +99,7 @@ def paragraphs(rows: DataFrame, min_words: int, spread: int, bands: int) -> Data
     return rows.mapInArrow(run, "id long, h long, first_word int, n_words int, bands array<long>")
 
 
-def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_words: int, block: int, block_grams: int) -> DataFrame:
+def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_line: int, block: int, block_grams: int) -> DataFrame:
     """h and keeper of the line classes in clusters of more than one class."""
     met = classes.select("h", F.posexplode("bands").alias("band", "hash"))
     roots = met.groupBy("band", "hash").agg(F.min("h").alias("root"), F.max("h").alias("other")).where("root < other").drop("other")
@@ -119,7 +117,7 @@ def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_wor
             data, starts = textio.column_bytes(batch.column("text"))
             asked = batch.column("wanted").to_pylist()
             for a, z in textio.blocks(starts):
-                text, _, _, values, offsets = _lines(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], min_words)
+                text, _, _, values, offsets = _lines(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], min_line)
                 hashes = _set_hashes(values, offsets).view(np.int64)
                 left = [set(x) for x in asked[a:z]]
                 chosen = [i for i, (t, h) in enumerate(zip(text.tolist(), hashes.tolist(), strict=True)) if h in left[t] and not left[t].remove(h)]
@@ -153,23 +151,126 @@ def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_wor
     return clusters.drop("keeper").join(keepers, "component").select(F.col("node").alias("h"), "keeper")
 
 
-def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 32, spread: int = 19,
-             recall: float = 0.995, block: int = 400, block_grams: int = 1_000_000) -> DataFrame:
-    """Every stretch of words that a document loses: doc_id, first_word, n_words, kept_in (documents that keep it)."""
+def _chains(table: pa.Table) -> pa.Table:
+    """Seeds of one document that follow each other in the same other document, as one row: id, chain, their place in both."""
+    first, keeper, at = (table.column(c).to_numpy() for c in ("first_word", "keeper", "k_first"))
+    order = np.lexsort((at, first, keeper))
+    first, keeper, at = (x[order].astype(np.int64) for x in (first, keeper, at))
+    step, other = np.diff(first), np.diff(at)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(keeper) != 0) | (step > REACH) | (np.abs(other - step) > REACH)]))
+    last = np.append(new[1:], len(first)) - 1
+    columns = [
+        pa.array(np.full(len(new), table.column("id")[0].as_py()), pa.int64()), pa.array(np.arange(len(new)), pa.int32()), pa.array(keeper[new]),
+        pa.array(first[new]), pa.array(first[last]), pa.array(np.minimum.reduceat(at, new)), pa.array(np.maximum.reduceat(at, new)),
+    ]
+    return pa.table(columns, ["id", "chain", "keeper", "low", "high", "k_low", "k_high"])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float, min_words: int) -> list[tuple[int, int]]:
+    """First word and number of words of the longest stretches of ``x`` that stand in ``y``: word hashes of two places.
+
+    A stretch goes from a common 5-gram to another. If its 5-grams and those of ``y`` between the same two fall short
+    of the threshold, it is cut where most words are not common.
+    """
+    if min(len(x), len(y)) < max(min_words, SIZE):
+        return []
+    x, y = (textio.sequence_hashes(w, np.arange(len(w) - SIZE + 1), np.arange(SIZE, len(w) + 1)) for w in (x, y))
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    at = np.flatnonzero(low < high)
+    where = np.zeros(len(at), np.int64)  # of the places in y, the one that follows best
+    follows = -1
+    for i, (a, z) in enumerate(zip(low[at].tolist(), high[at].tolist(), strict=True)):
+        places = order[a:z]
+        follows = int(places[0] if follows < 0 or z - a == 1 else places[np.abs(places - follows - 1).argmin()])
+        where[i] = follows
+    out, left = [], [(0, len(at))]
+    while left:
+        a, z = left.pop()
+        if z <= a or at[z - 1] - at[a] + SIZE < min_words:
+            continue
+        own, other = np.unique(x[at[a] : at[z - 1] + 1]), np.unique(y[where[a:z].min() : where[a:z].max() + 1])
+        common = len(np.intersect1d(own, other, assume_unique=True))
+        if common >= threshold * (len(own) + len(other) - common):
+            if len(own) > PERIOD:
+                out.append((int(at[a]), int(at[z - 1] - at[a]) + SIZE))
+        else:
+            cut = a + 1 + int(np.maximum(np.diff(at[a:z]), np.abs(np.diff(where[a:z]))).argmax())
+            left += [(a, cut), (cut, z)]
+    return out
+
+
+def _lost_passages(rows: DataFrame, seeds: DataFrame, threshold: float, min_words: int, seed: int) -> DataFrame:
+    """id, first_word, n_words and keeper of the passages that a document with a smaller id holds."""
+    shared = seeds.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("h", "keeper")
+    hits = stored(seeds.join(shared, "h").select("h", "id", "first_word", "keeper"), "hits")
+    places = hits.where("id = keeper").groupBy("h").agg(F.min("first_word").alias("k_first"))
+    met = hits.where("id > keeper").join(places, "h").select("id", "first_word", "keeper", "k_first")
+    chains = stored(met.groupBy("id").applyInArrow(
+        _chains, "id long, chain int, keeper long, low long, high long, k_low long, k_high long"
+    ), "chains")
+    asked = lambda doc, low, high, side: chains.select(
+        F.col(doc).alias("doc"), F.greatest(F.col(low) - REACH, F.lit(0)).alias("begin"), (F.col(high) + seed + REACH).alias("end"),
+        F.col("id").alias("owner"), "chain", "keeper", F.lit(side).alias("side"),
+    )
+    wanted = stored(asked("id", "low", "high", 0).unionByName(asked("keeper", "k_low", "k_high", 1)), "asked")
+    names = ["owner", "chain", "keeper", "side", "begin"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, starts = textio.column_bytes(batch.column("text"))
+            begin, end = batch.column("begin").to_numpy(), batch.column("end").to_numpy()
+            for a, z in textio.blocks(starts):
+                _, _, hashes, first = textio.words(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a])
+                low, high = (np.minimum(first[:-1] + x[a:z], first[1:]) for x in (begin, end))
+                ends = np.concatenate([[0], np.cumsum(high - low)])
+                flat = hashes[np.repeat(low - ends[:-1], high - low) + np.arange(ends[-1])]
+                kept = [batch.column(c).slice(a, z - a) for c in names]
+                yield pa.RecordBatch.from_arrays([*kept, textio.lists(flat.view(np.int64), ends, pa.int64())], [*names, "words"])
+
+    words = rows.join(wanted, rows["id"] == wanted["doc"]).select(*names, "end", "text").mapInArrow(
+        cut, "owner long, chain int, keeper long, side int, begin long, words array<long>"
+    )
+    # Rows that repeat an id may differ: each of their texts is compared.
+    side = lambda k: F.collect_set(F.when(F.col("side") == k, F.col("words")))
+    pairs = words.groupBy("owner", "chain", "keeper").agg(
+        F.max(F.when(F.col("side") == 0, F.col("begin"))).alias("begin"), side(0).alias("one"), side(1).alias("two")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                one, two = (_word_lists(batch.column(c)[i]) for c in ("one", "two"))
+                owner, begin, keeper = (batch.column(c)[i].as_py() for c in ("owner", "begin", "keeper"))
+                spans = {s for x in one for y in two for s in _alike(x, y, threshold, min_words)}
+                out += [(owner, begin + at, n, keeper) for at, n in sorted(spans)]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "first_word", "n_words", "keeper"])
+
+    return pairs.mapInArrow(compare, "id long, first_word int, n_words int, keeper long")
+
+
+def _word_lists(value: pa.ListScalar) -> list[np.ndarray]:
+    return [w.values.to_numpy(zero_copy_only=False).view(np.uint64) for w in value.values]
+
+
+def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 32, spread: int = 13,
+             recall: float = 0.995, block: int = 400, block_grams: int = 1_000_000, min_line: int = SIZE, seed: int = 10) -> DataFrame:
+    """Every stretch of words that a document loses: doc_id, first_word, n_words, kept_in (documents with smaller
+    ids that hold it or a near copy; the smallest of a cluster keeps its own)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     bands = bands_for(threshold, recall, BAND_ROWS)
-    found = stored(paragraphs(rows, min_words, spread, bands), "paragraphs")
-    lines, passages = found.where("bands IS NOT NULL"), found.where("bands IS NULL").drop("bands")
-    shared = passages.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("h", "keeper")
+    found = stored(paragraphs(rows, min_line, seed, spread, bands), "paragraphs")
+    lines, seeds = found.where("bands IS NOT NULL"), found.where("bands IS NULL").drop("bands")
     classes = stored(lines.groupBy("h").agg(
         F.min("id").alias("keeper"), F.max("id").alias("last"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")
     ), "lines")
-    near = stored(_near_classes(rows, classes, threshold, min_words, block, block_grams), "near")
+    near = stored(_near_classes(rows, classes, threshold, min_line, block, block_grams), "near")
     equal = classes.where("keeper < last").select("h", "keeper").join(near.select("h"), "h", "left_anti")
-    line_keepers = near.unionByName(equal)
-    lost = lambda units, keepers: units.join(keepers, "h").where("id > keeper").select("id", "first_word", "n_words", "keeper")
-    rows = lost(passages, shared).unionByName(lost(lines.drop("bands"), line_keepers))
-    return _merged(rows)
+    lost = lines.join(near.unionByName(equal), "h").where("id > keeper").select("id", "first_word", "n_words", "keeper")
+    return _merged(lost.unionByName(_lost_passages(rows, seeds, threshold, min_words, seed)))
 
 
 def _merged(lost: DataFrame) -> DataFrame:
