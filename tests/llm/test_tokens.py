@@ -69,6 +69,23 @@ def test_shards_hold_whole_documents(spark):
     assert spots == {(w[0], i) for w in want for i, t in enumerate(w[4]) if t == token}
 
 
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=12).map("".join), min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_special_tokens_as_in_a_plain_call(texts):
+    ids, at = wavelet.encode_block(BYTE_BPE, *textio.column_bytes(pa.array(texts)), special=True)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query_writes_special_tokens_as_one_id(spark):
+    path = work_path(spark, "special")
+    rows = [(1, "one<|endoftext|>two"), (2, "three")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = contract.queries()["op7_token_shards"](spark, path).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in found] == [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows]
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     path = work_path(spark, "shards")

@@ -101,7 +101,7 @@ def main_text(spark, sf_dir):
 @query("op7_token_shards")
 def token_shards(spark, sf_dir):
     path = work_path(spark, "shards")
-    wavelet.write_shards(table(spark, sf_dir, "documents"), "doc_id", "text", path, BYTE_BPE)
+    wavelet.write_shards(table(spark, sf_dir, "documents"), "doc_id", "text", path, BYTE_BPE, special=True)
     return wavelet.read_documents(spark, path)
 
 

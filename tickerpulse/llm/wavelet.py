@@ -189,14 +189,14 @@ def units(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, np.concatenate([begin[1:], [n]])[: len(begin)], np.searchsorted(begin, starts)
 
 
-def _encoder(path: str) -> textio.UnitCache:
+def _encoder(path: str, special: bool) -> textio.UnitCache:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
         return [f.ids for f in tokenizer.encode_batch_fast([p.decode("utf8") for p in pieces], add_special_tokens=False)]
@@ -204,12 +204,13 @@ def _encoder(path: str) -> textio.UnitCache:
     return textio.UnitCache(encode)
 
 
-_ENCODERS: dict[str, textio.UnitCache] = {}  # lives as long as the Python worker
+_ENCODERS: dict[tuple[str, bool], textio.UnitCache] = {}  # lives as long as the Python worker
 
 
-def encode_block(path: str, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of some texts one after the other, and where each text's ids begin (one entry more)."""
-    cache = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _encoder(path))
+def encode_block(path: str, data: np.ndarray, starts: np.ndarray, special: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some texts one after the other, and where each text's ids begin (one entry more). With ``special``, a
+    special token in a text is one id, as in a plain call of the library; else it is spelled out."""
+    cache = _ENCODERS.get((path, special)) or _ENCODERS.setdefault((path, special), _encoder(path, special))
     begin, end, first = units(data, starts)
     ids, offsets = cache(data, begin, end)
     return ids, offsets[first]
@@ -217,12 +218,13 @@ def encode_block(path: str, data: np.ndarray, starts: np.ndarray) -> tuple[np.nd
 
 def write_shards(
     df: DataFrame, id_col: str, text_col: str, path: str, tokenizer: str, end_id: int = 0,
-    shard_bytes: int = 24_000_000, shard_tokens: int = 4_000_000,
+    shard_bytes: int = 24_000_000, shard_tokens: int = 4_000_000, special: bool = False,
 ) -> None:
     """Encode every whole text, append ``end_id`` to each and write the shards in ascending order of ``id_col``.
 
     A task takes a range of ids of about ``shard_bytes`` of text and closes a file at ``shard_tokens``. NULL and empty
     texts consist of the end id alone; NULL ids come first; rows of one id follow each other in the order of their text.
+    ``special`` is that of ``encode_block``.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -244,7 +246,7 @@ def write_shards(
             data, starts = textio.column_bytes(batch.column("text"))
             keys = batch.column("id").to_pylist()
             for a, z in textio.blocks(starts):
-                found, at = encode_block(tokenizer, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a])
+                found, at = encode_block(tokenizer, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], special)
                 ids.append(np.insert(found, at[1:], end_id))
                 lengths.append(np.diff(at) + 1)
                 doc_ids.extend(keys[a:z])
