@@ -47,6 +47,15 @@ def test_damage_costs_one_record_and_is_logged():
             assert gaps[0][1] == low and gaps[-1][2] == low + len(damaged) and high
 
 
+def test_gzip_bodies_in_plain_archives():
+    bodies = [member(b"<p>a page</p>" * 9), b"any bytes" + warc.MEMBER + b"more bytes", warc.EMPTY_MEMBER]
+    coded = [record(10 + i, body) for i, body in enumerate(bodies)]
+    assert found(RECORDS[0] + b"".join(coded) + RECORDS[1]) == [0, 10, 11, 12, 1]
+    assert found(RECORDS[0][:-4] + MEMBERS[1] + coded[0] + MEMBERS[2]) == [0, 1, 10, 2]
+    damaged = coded[0][:-20] + bytes([coded[0][-20] ^ 1]) + coded[0][-19:]
+    assert found(RECORDS[0] + damaged + RECORDS[1]) == [0, ("gap", len(RECORDS[0]), len(RECORDS[0]) + len(damaged)), 1]
+
+
 def test_wrong_length_and_bare_text_between():
     longer = RECORDS[1].replace(b"Content-Length: 319", b"Content-Length: 999")
     assert [x for x in found(RECORDS[0] + longer + RECORDS[2] + b"what is this\n" + RECORDS[3] + RECORDS[4][:100]) if isinstance(x, int)] == [0, 2, 3]

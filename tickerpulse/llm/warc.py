@@ -121,12 +121,13 @@ def _record_at(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     begin, stop = end + 4, end + 4 + int(length)
     if stop > len(data):
         return "record is cut off"
-    if data[stop : stop + 4] not in (b"\r\n\r\n", b""):
+    member = data[stop : stop + 3] == MEMBER
+    if not member and data[stop : stop + 4] not in (b"\r\n\r\n", b""):
         return "length does not fit"
     block = data[begin:stop]
     if not _digest_fits(headers.get("warc-block-digest"), block):
         return "block digest differs"
-    return headers, block, min(stop + 4, len(data))
+    return headers, block, stop if member else min(stop + 4, len(data))
 
 
 def _plain(data: bytes) -> Iterator[tuple]:
@@ -156,6 +157,19 @@ def _unpack(content: memoryview, at: int) -> tuple[bytes, int, bool]:
     return b"".join(out), fed - len(unpacker.unused_data), unpacker.eof
 
 
+def _following(content: bytes, view: memoryview, at: int) -> int:
+    """Where the next version line, or the next gzip member that begins with one or is empty, stands."""
+    version = VERSION.search(content, at)
+    end = version.start() if version else len(content)
+    member = content.find(MEMBER, at, end)
+    while member >= 0:
+        inside, _, good = _unpack(view, member)
+        if VERSION.match(inside) or (good and not inside):
+            return member
+        member = content.find(MEMBER, member + 1, end)
+    return end
+
+
 def salvage(content: bytes) -> Iterator[tuple]:
     """("record", begin, end, headers, block) and ("gap", begin, end, reason) of an archive; the bytes are those of
     the file, for a record in a gzip member those of the member."""
@@ -180,10 +194,13 @@ def salvage(content: bytes) -> Iterator[tuple]:
                 yield "gap", at, end, "member does not unpack"
             at = end
             continue
-        member = content.find(MEMBER, at)
-        end = n if member < 0 else member
-        for found in _plain(content[at:end]):
-            yield found[0], at + found[1], at + found[2], *found[3:]
+        found = _record_at(content, at)
+        if isinstance(found, str):
+            end = _following(content, view, at + 1)
+            yield "gap", at, end, found
+        else:
+            headers, block, end = found
+            yield "record", at, end, headers, block
         at = end
 
 
