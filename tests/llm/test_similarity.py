@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickerpulse.llm import components, decontam, ngram_join, paragraphs, vecdedup
 from tickerpulse.llm.minhash import bands_for
@@ -105,6 +106,22 @@ def test_ngram_join_without_ids_or_rows(spark):
     assert bands_for(0.8, 0.999, 4) == 14
 
 
+def test_ngram_join_of_texts_under_one_id(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 120), " ".join(prose(rng, 120))
+    near = " ".join(["new", *a[1:]])
+    a = " ".join(a)
+    nearer = a + " end"
+    for first, second in ((a, b), (b, a)):
+        df = spark.createDataFrame([(3, near), (5, first), (5, second), (9, b)], "id long, text string")
+        rows = ngram_join.similar(df, "id", "text").join(df.select(F.xxhash64("text").alias("text_hash"), "text").distinct(), "text_hash")
+        got = {(r["doc_id"], r["text"]): (r["class_id"], r["copy_of"], r["n_links"], r["kept"]) for r in rows.collect()}
+        assert got == {(3, near): (3, 3, 1, True), (5, a): (3, 5, 1, False), (5, b): (5, 5, 1, True), (9, b): (5, 5, 1, False)}
+    df = spark.createDataFrame([(3, a), (3, nearer), (4, near)], "id long, text string")
+    rows = ngram_join.similar(df, "id", "text").collect()
+    assert {(r["class_id"], r["n_links"]) for r in rows} == {(3, 2)} and sum(r["kept"] for r in rows) == 1
+
+
 def shared_windows(texts, size):
     """Per document, the words that a run of ``size`` words of an earlier document covers."""
     words = {i: re.findall(WORD_PATTERN, (t or "").lower()) for i, t in texts.items()}
