@@ -125,6 +125,20 @@ def test_outliers_one_at_a_time(spark):
     assert sorted(r["id"] for r in kept.select("id").collect()) == list(range(4, 200))
 
 
+def test_outlier_queries_put_no_class_into_one_task(spark, monkeypatch):
+    from tickerpulse.fixtures import queries_models
+
+    seen = []
+
+    def cuts(projected, chosen, quota, class_per_task):
+        seen.append(class_per_task)
+        return dict.fromkeys(quota, 0), {}
+
+    monkeypatch.setattr(outliers, "_cuts", cuts)
+    queries_models.outlier_projection(spark, "/root/testdata/sf0.001")
+    assert seen and not any(seen)
+
+
 def test_outliers_in_rounds_never_exceed_the_share(spark):
     random = np.random.default_rng(5)
     pdf = pd.DataFrame(random.standard_t(2, size=(600, 2)), columns=["a", "b"]).assign(id=range(600), y=["p", "p", "q"] * 200)

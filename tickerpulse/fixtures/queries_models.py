@@ -90,7 +90,7 @@ def answered_by_class(spark, sf_dir):
 def outlier_projection(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     skewed = items.withColumn("l_extendedprice", F.pow("l_extendedprice", F.lit(2.0)))
-    kept = outliers.remove_outliers(skewed, "l_returnflag", "row_id", ITEM_FEATURES, per_round=None, class_per_task=True)
+    kept = outliers.remove_outliers(skewed, "l_returnflag", "row_id", ITEM_FEATURES, per_round=None)
     return kept.select("l_returnflag", "row_id", *ITEM_FEATURES)
 
 
@@ -164,4 +164,4 @@ def word2vec(spark, sf_dir):
 
 @query("refined_to_model")
 def refined_to_model(spark, sf_dir):
-    return modelling.refined_to_model(_vectors(spark, sf_dir), "label", "vec_id", LEADING_FEATURES, per_round=None, class_per_task=True)
+    return modelling.refined_to_model(_vectors(spark, sf_dir), "label", "vec_id", LEADING_FEATURES, per_round=None)
