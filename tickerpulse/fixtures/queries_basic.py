@@ -404,7 +404,7 @@ def export_formats(spark, sf_dir):
     io.write_by_ticker(rows, f"{root}/parquet")
     back = {"parquet": io.read_parquet(spark, f"{root}/parquet")}
     io.write_json(back["parquet"], f"{root}/json")
-    io.write_csv(back["parquet"].select(*plain.columns, "ticker"), f"{root}/csv", single_file=True)
+    io.write_csv(back["parquet"].select(*plain.columns, "ticker"), f"{root}/csv")
     schema = StructType([*schemas.POSTS.fields, StructField("ticker", StringType())])
     back["json"] = spark.read.schema(schema).json(f"{root}/json")
     back["csv"] = io.read_csv(spark, f"{root}/csv", schema, multi_line=True)
