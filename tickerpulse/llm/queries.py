@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import decontam, html_text, langid, ngram_join, paragraphs, pieces, toxicity, vecdedup, warc, wavelet
+from tickerpulse.llm import conversations, ctw, decontam, html_text, langid, ngram_join, paragraphs, pieces, spelling, toxicity, vecdedup, warc, wavelet
 from tickerpulse.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# CRC-32 of a string in SQL: the table of the 256 remainders, then one step per byte.
+CRC_TABLE = """crc_table AS (SELECT list(r ORDER BY i) AS t FROM (SELECT i,
+  list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS r FROM range(256) x(i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """An expression over ``crc_table``; DuckDB gives bytes of a string as two hex digits each."""
+    text = f"CAST({text} AS VARCHAR)"
+    data = f"hex(encode({text}))"
+    step = f"xor(t[1 + (xor(crc_so_far, CAST('0x' || substr({data}, 2 * crc_at + 1, 2) AS BIGINT)) & 255)], crc_so_far >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295, range(octet_length(encode({text})))), lambda crc_so_far, crc_at: {step}), 4294967295)"
+
+
 @query("op1_warc", """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS n, unhex(sha1(payload)) AS raw, sha1(payload) AS hex FROM p),
@@ -118,3 +131,54 @@ def ngram_pairs(spark, sf_dir):
 @query("op10_pieces")
 def sentence_pieces(spark, sf_dir):
     return pieces.digest(table(spark, sf_dir, "documents"), "doc_id", "text", PIECE_MODEL)
+
+
+@query("op11_spelling", f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {crc32_sql("doc_id || ':' || run")} AS h FROM counted, crc_table),
+spoilt AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spoilt WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(length(word))) AS k FROM words),
+shorter AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM places),
+near AS (SELECT a.word AS u, b.word AS v, b.n AS n FROM shorter a JOIN shorter b USING (k, rest) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (SELECT u, count(*) AS n_near, min((-n, v)) AS b FROM near GROUP BY u),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+  FROM words LEFT JOIN best ON word = u),
+chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""")
+def spelling_variants(spark, sf_dir):
+    return spelling.variant_groups(spelling.vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query("op12_conversations", f"""
+WITH {CRC_TABLE},
+own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p,
+  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, CAST({crc32_sql("c")} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM own), crc_table),
+lent AS (SELECT v.c, o.p, o.role, o.text FROM convs v JOIN own o ON o.c = v.c - v.c % 20 WHERE o.p <= v.h),
+turns AS (SELECT * FROM lent UNION ALL
+  SELECT o.c, o.p - v.h + (SELECT count(*) FROM lent l WHERE l.c = o.c), o.role, o.text FROM own o JOIN convs v USING (c) WHERE o.p > v.h),
+paths AS (SELECT c, list((role, text) ORDER BY p) AS seq FROM turns GROUP BY c),
+whole AS (SELECT c, coalesce(seq, []) AS seq FROM convs LEFT JOIN paths USING (c)),
+steps AS (SELECT c, d, seq, md5(CAST(seq[1:d] AS VARCHAR)) AS k, md5(CAST(seq[1:d - 1] AS VARCHAR)) AS up FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM whole)),
+nodes AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, any_value(CASE WHEN d > 0 THEN up END) AS up,
+  any_value(CASE WHEN d > 0 THEN len(regexp_extract_all(seq[d][2], '[^\x20\x09-\x0D]+')) ELSE 0 END) AS w,
+  coalesce(string_agg(c, ',' ORDER BY c) FILTER (len(seq) = d), '') AS ends FROM steps GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d, up),
+below AS (SELECT DISTINCT s.d, s.k, e.d AS e_d, e.k AS e_k FROM steps s JOIN steps e USING (c) WHERE e.d >= s.d),
+sums AS (SELECT b.d, b.k, CAST(sum((n.n_convs - 1) * n.w) AS BIGINT) AS saved, CAST(sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS leaves
+  FROM below b JOIN nodes n ON n.d = b.e_d AND n.k = b.e_k LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k GROUP BY b.d, b.k)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.up""")
+def conversation_prefixes(spark, sf_dir):
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_lm_score")
+def lm_scores(spark, sf_dir):
+    return ctw.scores(table(spark, sf_dir, "documents"), "doc_id", "text")
