@@ -1,7 +1,7 @@
 """Spelling variants of the words of a corpus, found by a frontier that walks a trie kept as a table.
 
 The trie is a table of edges (parent, character, child) over all words, and one more over all words read backwards; a
-node is named by two 64-bit hashes of its prefix. A state is (word, position, node, edited). Level by level, the states at one
+node is named by two 64-bit hashes of its prefix. A state is (word, position, node, edits). Level by level, the states at one
 depth are joined with the edges that leave their nodes: an unedited state may match, replace, insert or, behind a match,
 delete a character, an edited one may only match. An edited state at the end of its word, in a node where another word ends, is a
 neighbour: the two differ by exactly one inserted, deleted or replaced code point.
@@ -120,10 +120,11 @@ def first_states(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
                 own = _Spelled(texts, side)
                 at = np.minimum(own.first_edit - 1, deepest)
                 spelled = back if side else batch.column("word")
-                columns = [pa.array(np.full(len(texts), side), pa.int32()), batch.column("word"), spelled, pa.array(at, pa.int32()), *own.node(np.arange(len(texts)), at)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.zeros(len(texts), bool))], ["side", "word", "spelled", "at", "a", "b", "edited"])
+                columns = [pa.array(np.full(len(texts), side), pa.int32()), spelled, pa.array(at, pa.int32()), *own.node(np.arange(len(texts)), at)]
+                edits = pa.array(np.where(own.first_edit > at, -1, 0), pa.int32())  # below the deepest level all of the rest is compared
+                yield pa.RecordBatch.from_arrays([*columns, edits], ["side", "spelled", "at", "a", "b", "edits"])
 
-    return words.mapInArrow(run, "side int, word string, spelled string, at int, a long, b long, edited boolean")
+    return words.mapInArrow(run, "side int, spelled string, at int, a long, b long, edits int")
 
 
 def _letter(place: Column) -> Column:
@@ -131,27 +132,24 @@ def _letter(place: Column) -> Column:
 
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one level deeper; those that ended have their neighbour in ``near``."""
+    """The states one level deeper; those that ended have their neighbour in ``near``. ``edits`` is -1 where the word only enters."""
     joined = states.join(edges.withColumnsRenamed({"a": "ca", "b": "cb", "pa": "a", "pb": "b"}), NODE)
-    at, length = F.col("at"), F.length("spelled")
+    at, edits, length = F.col("at"), F.col("edits"), F.length("spelled")
     same = F.col("letter") == _letter(at)  # false at the end of the word
-    new = lambda when, place, edited: F.when(when, F.struct(place.cast("int").alias("at"), F.lit(edited).alias("edited")))
-    free = ~F.col("edited")
+    new = lambda when, place, n: F.when(when, F.struct(place.cast("int").alias("at"), F.lit(n).alias("edits")))
     moves = F.array_compact(F.array(
-        new(F.col("edited") & same, at + 1, True),
-        new(free & same, at + 1, False),
-        new(free & same & (at + 1 < length), at + 2, True),  # delete the character behind
-        new(free & ~same & (at < length), at + 1, True),  # replace
-        new(free & ~same, at, True),  # insert
+        new(same & (edits <= 0), at + 1, 0),
+        new(same & ((edits == 1) | (at + 1 < length)), F.when(edits == 1, at + 1).otherwise(at + 2), 1),  # match, or delete the character behind
+        new(~same & (edits == 0) & (at < length), at + 1, 1),  # replace
+        new(~same & (edits == 0), at, 1),  # insert
     ))
-    moved = joined.where(free | same).select("side", "word", "spelled", F.col("ca").alias("a"), F.col("cb").alias("b"), "bits", "ends", "end_n", F.explode(moves).alias("m"))
-    moved = moved.select("*", "m.at", "m.edited").drop("m")
-    over = F.col("edited") & (F.col("at") == length)
+    moved = joined.where(same | (edits == 0)).select("side", "spelled", F.col("ca").alias("a"), F.col("cb").alias("b"), "bits", "ends", "end_n", F.explode(moves).alias("m"))
+    moved = moved.select("*", "m.at", "m.edits").drop("m")
+    over = (F.col("edits") == 1) & (F.col("at") == length)
     follows = F.getbit("bits", F.ascii(_letter(F.col("at"))) % 64) == 1
-    alive = F.when(over, F.col("ends").isNotNull()).when(F.col("edited"), follows).otherwise(F.col("bits") != 0)
+    alive = F.when(over, F.col("ends").isNotNull()).when(F.col("edits") == 1, follows).otherwise(F.col("bits") != 0)
     return moved.where(alive).select(
-        "side", "word", "spelled", "at", "a", "b", "edited",
-        F.when(over, F.col("ends")).alias("near"), F.when(over, F.col("end_n")).alias("near_n"),
+        "side", "spelled", "at", "a", "b", "edits", F.when(over, F.col("ends")).alias("near"), F.when(over, F.col("end_n")).alias("near_n"),
     )
 
 
@@ -159,10 +157,10 @@ def _last_step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Neighbours among words that go on below the deepest level: what is left of both is compared."""
     joined = states.join(edges.select("side", F.col("pa").alias("a"), F.col("pb").alias("b"), "letter", "ends", "end_n"), NODE)
     rest = F.substring("spelled", F.col("at") + 1, F.length("spelled"))
-    fits = F.when(F.col("edited"), rest == F.col("letter")).otherwise(
+    fits = F.when(F.col("edits") == 1, rest == F.col("letter")).otherwise(
         (F.abs(F.length(rest) - F.length("letter")) <= 1) & (F.levenshtein(rest, F.col("letter"), 1) == 1)
     )
-    return joined.where(fits).select("side", "word", "spelled", "at", "a", "b", "edited", F.col("ends").alias("near"), F.col("end_n").alias("near_n"))
+    return joined.where(fits).select("side", "spelled", "at", "a", "b", "edits", F.col("ends").alias("near"), F.col("end_n").alias("near_n"))
 
 
 def neighbours(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
@@ -185,7 +183,8 @@ def neighbours(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
-    return found.where("near IS NOT NULL").select("word", "near", "near_n").distinct()
+    word = F.when(F.col("side") == 1, F.reverse("spelled")).otherwise(F.col("spelled"))
+    return found.where("near IS NOT NULL").select(word.alias("word"), "near", "near_n").distinct()
 
 
 def variant_groups(words: DataFrame, ratio: float = 2.0, deepest: int = DEEPEST) -> DataFrame:
