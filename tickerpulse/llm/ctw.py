@@ -39,7 +39,7 @@ from tickerpulse.llm.stored import stored
 
 DEPTH = 6
 TEXT_BITS = 64 - 8 * (DEPTH + 1)  # an n-gram and the number of a text in its part fill 64 bits
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
 PART_BYTES = 4_000_000
 PART_TEXTS = 1 << TEXT_BITS
 FAN = 64
@@ -115,7 +115,9 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def packed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+    """First all lowest bytes, then all second ones and so on: most of the higher ones are zero."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def packed_codes(codes: np.ndarray) -> bytes:
@@ -123,7 +125,9 @@ def packed_codes(codes: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd"), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
 def unpacked_codes(data: bytes, n: int) -> np.ndarray:
@@ -147,8 +151,7 @@ def gathered(rows: DataFrame) -> DataFrame:
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names)
 
-    def asked(block: int, grams: list, tokens: list) -> pa.RecordBatch:
-        own = [merged(*zip(*x, strict=True)) for x in (grams, tokens)]
+    def asked(block: int, own: list) -> pa.RecordBatch:
         out = []
         for kind, bucket, low, high in buckets(own[0][0], own[1][0]):
             codes, counts = own[kind]
@@ -158,25 +161,27 @@ def gathered(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 24, 0
-        grams, tokens = [], []
+        nothing = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2
+        own = nothing
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for a, z, part in parts(batch.column("text")):
                 train = ~held[a:z]
                 code, text, count = part.grams()
-                grams.append(merged([code], [count * train[text]]))
+                new = [merged([code], [count * train[text]])]
                 code = np.append(part.tokens, np.full(z - a, END))
-                tokens.append(merged([code], [np.append(train[part.token_text], train).astype(np.int64)]))
+                new.append(merged([code], [np.append(train[part.token_text], train).astype(np.int64)]))
+                own = [merged(*zip(x, y, strict=True)) for x, y in zip(own, new, strict=True)]
                 yield batch_of(
                     z - a, kind=pa.array(np.zeros(z - a), pa.int32()), block=pa.array(np.full(z - a, block)), id=batch.column("id").slice(a, z - a),
                     held_out=batch.column("held_out").slice(a, z - a), text=batch.column("text").slice(a, z - a),
                 )
                 size += len(part.stream)
                 if size >= BLOCK_BYTES:
-                    yield asked(block, grams, tokens)
-                    block, size, grams, tokens = block + 1, 0, [], []
-        if grams:
-            yield asked(block, grams, tokens)
+                    yield asked(block, own)
+                    block, size, own = block + 1, 0, nothing
+        if size:
+            yield asked(block, own)
 
     schema = "kind int, block long, id long, held_out boolean, text string, bucket int, n int, codes binary, counts binary"
     return rows.mapInArrow(run, schema)
@@ -349,19 +354,19 @@ def scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
     def add_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").combine_chunks()
-        own = [(a, z, part) for a, z, part in parts(texts)] if left.num_rows else []
-        grams = [part.grams() for *_, part in own]
-        # The lists of the block in their order give the codes again.
+        texts = left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())
+        # The lists of the block in their order are the answers to its codes in theirs.
         order = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist()
         bucket, n, data = (right.column(c).to_pylist() for c in ("bucket", "n", "found"))
         logs = [unpacked(data[i], n[i], np.float32) for i in order if bucket[i] < FIRST_TOKENS]
         seen = [unpacked(data[i], n[i], np.int64) for i in order if bucket[i] >= FIRST_TOKENS]
-        codes = np.unique(np.concatenate([g[0] for g in grams])) if grams else np.zeros(0, U64)
-        types_here = np.unique(np.concatenate([*[p.tokens for *_, p in own], np.array([END])])) if grams else np.zeros(0, U64)
         logs, seen = (np.concatenate(x) if x else np.zeros(0) for x in (logs, seen))
+        codes, types_here = np.zeros(0, U64), np.array([END])
+        for *_, part in parts(texts):
+            codes, types_here = np.union1d(codes, part.grams()[0]), np.union1d(types_here, part.tokens)
         out = []
-        for (a, z, part), (code, text, count) in zip(own, grams, strict=True):
+        for a, z, part in parts(texts):
+            code, text, count = part.grams()
             score = np.bincount(text, logs[np.searchsorted(codes, code)].astype(np.float64) * count, z - a) / np.log(10)
             c = seen[np.searchsorted(types_here, part.tokens)]
             end = seen[np.searchsorted(types_here, END)]
