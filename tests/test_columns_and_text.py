@@ -1,4 +1,5 @@
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,7 +56,15 @@ def test_tags_and_links_go(spark):
 
 def test_words_keep_inner_joiners(spark):
     df = spark.createDataFrame([("A foo-bar, and/or AT&T's end.",)], "s string")
-    assert df.select(T.word_tokens("s")).first()[0] == ["A", "foo-bar", ",", "and/or", "AT", "&", "T", "'", "s", "end", "."]
+    assert df.select(T.word_tokens("s")).first()[0] == ["A", "foo-bar", ",", "and/or", "AT", "&", "T's", "end", "."]
+
+
+def test_refined_words_are_the_letters_only_tokens(spark):
+    texts = ["ab a-b ab-cd x/yz ab.cd. 'ab' ab' 'cd ab''cd ab1 1ab 1-ab ab-1 ab_cd", "É été ÉTÉ’s naïve straße ŉ ﬁn", "a\\\\b cd\\\\ ef--gh ij-,kl", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    found = df.select(T.words_refined("s", []), T.word_tokens("s")).collect()
+    for words, tokens in found:
+        assert words == [t.lower() for t in tokens if len(t) > 1 and t.isalpha()]
 
 
 def test_refined_and_stripped_differ_as_stated(spark):
@@ -150,3 +159,30 @@ def test_context_scoring_in_the_job(spark):
     lexicon = spark.createDataFrame([("good", 2.0)], LEXICON)
     moods = lambda how: sorted(r[0] for r in raw_to_trusted(posts, links, lexicon, scoring=how).select("sentiment").collect())
     assert moods("sum") == ["positive", "positive"] and moods("context") == ["negative", "positive"]
+
+
+def test_lexicon_tables_are_the_copied_side_and_hashes_are_below_the_explode(spark):
+    from tickerpulse.fixtures.tables import lexicon, lemmas
+
+    df = spark.range(10**9).selectExpr("id", "array('good', 'ing') w")  # planned, not run
+    found = L.lemmatize_and_score(df, "id", "w", lemmas(spark), lexicon(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan[: plan.index("Generate posexplode")]
+    generate = plan[plan.index("Generate posexplode") :]
+    assert "xxhash64" in generate and "xxhash64" not in plan[plan.index("BroadcastHashJoin") : plan.index("Generate posexplode")]
+
+
+def test_null_keys_score(spark):
+    lexicon = spark.createDataFrame([("good", 1.9)], "token string, valence double")
+    df = spark.createDataFrame([(None, ["good"]), (1, ["good"]), (None, ["bad"])], "id int, w array<string>")
+    scored = [tuple(r) for r in L.score_tokens(df, "id", "w", lexicon, "s").select("id", "w", "s").collect()]
+    assert sorted(scored, key=str) == sorted([(None, ["good"], 0.4404), (1, ["good"], 0.4404), (None, ["bad"], 0.0)], key=str)
+
+
+def test_long_texts_take_no_longer_per_word(spark):
+    """The hash of a text is computed once: with one per token, this would hash 40 000 x 40 000 words."""
+    lexicon = spark.createDataFrame([("good", 0.0)], "token string, valence double")
+    df = spark.range(4).selectExpr("id", "transform(sequence(1, 40000), x -> concat('w', x)) w")
+    start = time.perf_counter()
+    assert L.score_tokens(df, "id", "w", lexicon, "s").agg({"s": "sum"}).first()[0] == 0.0
+    assert time.perf_counter() - start < 60

@@ -1,5 +1,10 @@
 """Every query that has SQL gives the rows of that SQL, on the smallest tables."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as contract
@@ -24,3 +29,14 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("without", [["tickerpulse/llm", "tests/llm"], ["tickerpulse/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_the_rest_imports_without_the_optional_operators(tmp_path, without):
+    root = Path(contract.__file__).parent
+    skipped = {root / w for w in without}
+    ignore = lambda folder, names: [n for n in names if Path(folder) / n in skipped or n.startswith(".") or n == "__pycache__"]
+    shutil.copytree(root, tmp_path / "copy", ignore=ignore)
+    code = "import __spark_entry__ as c, tests.compare; print(sorted(k for k in c.queries() if k == 'pipeline' or k[:2] == 'op' and k[2:3].isdigit()), len(c.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True)
+    assert done.stdout.startswith("[] ") and int(done.stdout.split()[1]) > 80

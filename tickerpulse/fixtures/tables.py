@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tickerpulse.operators.prices import daily_close
 from tickerpulse.sources.schemas import LEMMAS, LEXICON
@@ -29,12 +31,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A small table whose size Spark knows when it plans joins."""
+    columns = zip(*rows, strict=True)
+    kinds = [pa.float64() if isinstance(f.dataType, DoubleType) else pa.string() for f in schema.fields]
+    arrow = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
+    return spark.createDataFrame(arrow, schema)
+
+
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON_ROWS, LEXICON)
+    return local_table(spark, LEXICON_ROWS, LEXICON)
 
 
 def lemmas(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEMMA_ROWS, LEMMAS)
+    return local_table(spark, LEMMA_ROWS, LEMMAS)
 
 
 def seconds_of(ts: str) -> Column:

@@ -15,6 +15,9 @@ from tickerpulse.functions.stopwords import ENGLISH
 TAGS_AND_LINKS = r"\$\S+|http\S+"
 # Words keep inner apostrophes, hyphens, dots, slashes and the like; every other visible character is its own token.
 WORDS = r"[\p{L}\p{N}]+(?:[-./_+*=~^|\\’'][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+# Those of them that are letters only, two or more: not next to a letter or digit, nor to a joiner that has one on its other side.
+_INNER = r"[-./_+*=~^|\\’']"
+LETTER_WORDS = rf"(?<![\p{{L}}\p{{N}}])(?<![\p{{L}}\p{{N}}]{_INNER})\p{{L}}{{2,}}+(?![\p{{L}}\p{{N}}]|{_INNER}[\p{{L}}\p{{N}}])"
 # Terms as the tf-idf vectorizer sees them: two or more word characters.
 TERMS = r"[\p{L}\p{N}_]{2,}"
 
@@ -42,9 +45,9 @@ def drop_words(tokens: Column, words: Sequence[str]) -> Column:
 
 def words_refined(body: str | Column, stop_words: Sequence[str] = ENGLISH) -> Column:
     """Tags and links removed, alphabetic tokens longer than one letter, lower case, no stop words."""
-    tokens = word_tokens(strip_tags_and_links(body))
-    letters = F.filter(tokens, lambda t: t.rlike(r"^\p{L}{2,}$"))
-    return drop_words(F.transform(letters, F.lower), stop_words)
+    letters = F.regexp_extract_all(strip_tags_and_links(body), F.lit(LETTER_WORDS), F.lit(0))
+    lowered = F.split(F.lower(F.array_join(letters, " ")), " ")  # all words at once; none holds a blank
+    return drop_words(lowered, ["", *stop_words])
 
 
 def words_in_context(body: str | Column) -> Column:

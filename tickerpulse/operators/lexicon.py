@@ -1,8 +1,9 @@
 """Lemmas and sentiment from dictionary tables.
 
-A dictionary is an input table. The texts' tokens are exploded and inner-joined with it, so only the
-hits travel; whether the dictionary is broadcast is left to Spark, which knows its size. Hits are gathered per key and
-token list: two texts under one key stay apart, and a row that stands twice counts its hits once.
+A dictionary is an input table. The texts' tokens are exploded and inner-joined with it. Where Spark knows that the dictionary
+is small (a file, a local table), it is the side that is copied and only the hits are shuffled; a dictionary too large for
+that is joined by shuffling both. Hits are gathered per key and token list: two texts under one key stay apart, a NULL
+key is a key, and a row that stands twice counts its hits once.
 """
 
 from __future__ import annotations
@@ -56,9 +57,7 @@ def lookup(df: DataFrame, key: str, tokens: str | Column, entries: DataFrame) ->
 
     A text is told by ``key`` and ``_tokens_hash``. Its hits are at most its tokens.
     """
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    # The outer form keeps Spark from testing the token expression once more before it explodes it.
-    exploded = df.select(key, _tokens_hash(tokens), F.posexplode_outer(tokens).alias("pos", "form"))
+    exploded = _hashed(df, key, tokens).select(key, "_tokens_hash", F.posexplode_outer("_tokens").alias("pos", "form"))
     hits = exploded.join(entries, "form").groupBy(key, "_tokens_hash").agg(
         F.array_sort(F.collect_set(F.struct("pos", "form", "lemma", "valence"))).alias("_hits")
     )
@@ -67,13 +66,16 @@ def lookup(df: DataFrame, key: str, tokens: str | Column, entries: DataFrame) ->
     return hits.select(key, "_tokens_hash", total.alias("valence_sum"), F.map_from_entries(F.array_distinct(known)).alias("lemma_of"))
 
 
-def _tokens_hash(tokens: str | Column) -> Column:
-    return F.xxhash64(tokens).alias("_tokens_hash")
+def _hashed(df: DataFrame, key: str, tokens: str | Column) -> DataFrame:
+    """Key, tokens and their hash, computed once per text: in one select with an explode, the hash would be computed above it, for
+    every token anew. The outer form of the explode keeps Spark from testing the tokens before it explodes them."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    return df.select(key, F.xxhash64(tokens).alias("_tokens_hash"), tokens.alias("_tokens"))
 
 
 def _with_found(df: DataFrame, key: str, tokens: str | Column, found: DataFrame) -> DataFrame:
     """``df`` with what was found for each row's own tokens."""
-    same = [F.col(key) == F.col("_found_key"), F.xxhash64(tokens) == F.col("_tokens_hash")]
+    same = [F.col(key).eqNullSafe(F.col("_found_key")), F.xxhash64(tokens) == F.col("_tokens_hash")]
     return df.join(found.withColumnRenamed(key, "_found_key"), same, "left").drop("_found_key", "_tokens_hash")
 
 
@@ -104,7 +106,8 @@ def score_with_context(
     negators: Sequence[str] = NEGATORS, up: Sequence[str] = BOOSTERS_UP, down: Sequence[str] = BOOSTERS_DOWN,
 ) -> DataFrame:
     """Compound score in which the three tokens before a hit may strengthen, weaken or negate it."""
-    exploded = df.select(key, _tokens_hash(tokens), F.explode_outer(F.array_distinct(tokens)).alias("token"))
+    distinct = _hashed(df, key, tokens).withColumn("_tokens", F.array_distinct("_tokens"))
+    exploded = distinct.select(key, "_tokens_hash", F.explode_outer("_tokens").alias("token"))
     valences = exploded.join(lexicon, "token").groupBy(key, "_tokens_hash").agg(
         F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_valences")
     )
