@@ -184,3 +184,19 @@ def test_stages_take_odd_rows(spark):
                 assert kept.columns == docs.columns
         ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
         assert ids == ([1, *range(10, 30)] if source is docs else [])
+
+
+@pytest.mark.parametrize("text", ["\u1c5a\u1c5b", "\ua984\ua985", "\u1b05\u1b06", "\u1a00\u1a01", "\ua500\ua501", "\uaa00\uaa01", "\uaa80\uaa81", "\uabc0\uabc1", "\U00010400", "\U0001d400", "\u02b0"])
+def test_letters_of_any_script_are_letters(spark, text):
+    docs = spark.createDataFrame([("the cat and the hat", "en"), ("le chat et le chapeau", "fr")], "text string, lang string")
+    model = langid.fit(docs, "text", "lang")
+    found = langid.label(spark.createDataFrame([(text,), ("12 \u0663 \u093e --",)], "text string"), "text", model).select("text", "language").collect()
+    assert [r["language"]["lang"] != "und" for r in found] == [True, False]
+    assert found[0]["language"]["spans"] and not found[1]["language"]["spans"]
+
+
+def test_copies_of_a_text_teach_once(spark):
+    rows = [("hot text in one tongue", "aa")] * 5000 + [(f"mot {i} rare et bon", "bb") for i in range(50)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    once = langid.fit(docs.distinct(), "text", "lang")
+    assert (langid.fit(docs, "text", "lang").weights == once.weights).all()

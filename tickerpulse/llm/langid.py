@@ -14,11 +14,13 @@ their share. An empty training set predicts ``und`` everywhere.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +47,21 @@ SCRIPT_STARTS = [
     (0xFF21, "latin"), (0xFF3B, "none"), (0xFF41, "latin"), (0xFF5B, "none"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "none"),
     (0x20000, "han"), (0x323B0, "none"),
 ]
-SCRIPTS = sorted({s for _, s in SCRIPT_STARTS} - {"none"})
-_STARTS = np.array([a for a, _ in SCRIPT_STARTS])
-_NUMBER = np.array([-1 if s == "none" else SCRIPTS.index(s) for _, s in SCRIPT_STARTS])
+SCRIPTS = sorted({s for _, s in SCRIPT_STARTS} - {"none"} | {"other"})
+
+
+def _letter_ranges() -> tuple[np.ndarray, np.ndarray]:
+    """First code points of ranges and their script number: letters are those of a Unicode category L, ``other`` those
+    of none of the scripts above, -1 what is no letter."""
+    codes = np.arange(0x40000)  # no letter lies above
+    letter = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in codes.tolist()), bool, len(codes))
+    named = np.array([SCRIPTS.index("other" if s == "none" else s) for _, s in SCRIPT_STARTS])
+    number = np.where(letter, named[np.searchsorted([a for a, _ in SCRIPT_STARTS], codes, "right") - 1], -1)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return np.append(first, len(codes)), np.append(number[first], -1)
+
+
+_STARTS, _NUMBER = _letter_ranges()
 _ASCII = _NUMBER[np.searchsorted(_STARTS, np.arange(128), "right") - 1]
 
 
@@ -113,22 +127,24 @@ def word_grams(data: np.ndarray, starts: np.ndarray, buckets: int) -> tuple[np.n
 
 
 def fit(df: DataFrame, text_col: str, lang_col: str, rows_per_lang: int = 2000, buckets: int = 1 << 16, seed: int = 7) -> Model:
-    """Fit on about ``rows_per_lang`` rows of each language, chosen by a hash of their text; the driver gets a count
-    per language and bucket. Rows without text or language teach nothing."""
-    rows = df.select(F.lower(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Fit on about ``rows_per_lang`` different texts of each language, chosen by their hash; the driver gets a count
+    per language and bucket. Rows without text or language teach nothing, copies of a text no more than one."""
+    hashed = F.xxhash64(F.col(text_col), F.lit(seed)).alias("h")
+    rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), hashed).where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros((0, len(SCRIPTS)), bool))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_lang / sizes[k]))])
-    some = rows.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    some = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), buckets), np.int64)
         scripts = np.zeros((len(languages), len(SCRIPTS)), np.int64)
         number = {k: i for i, k in enumerate(languages)}
         for batch in batches:
-            data, starts = textio.column_bytes(batch.column("text"))
+            data, starts = textio.column_bytes(pc.utf8_lower(batch.column("text")))
             lang = np.array([number[k] for k in batch.column("lang").to_pylist()], np.int64)
             for a, z in textio.blocks(starts, 1_000_000):
                 grams, word, text, masks = word_grams(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], buckets)
@@ -201,54 +217,51 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float)
     return label
 
 
-def label(df: DataFrame, text_col: str, model: Model, penalty: float = 6.0, out: str = "language") -> DataFrame:
-    """Adds a struct column: lang, score and spans, an array of (first_word, n_words, lang) over the words with letters."""
+def label(df: DataFrame, text_col: str, model: Model, penalty: float = 6.0, out: str = "language", spans: bool = True) -> DataFrame:
+    """Adds a struct column: lang, score and, if asked for, spans, an array of (first_word, n_words, lang) over the words with letters."""
     fields = [f for f in df.schema.fields if f.name != out]
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x languages
     names = [f.name for f in fields]
-    source = df.select(*[F.col(f"`{n}`") for n in names], F.lower(text_col))  # the last column, whatever the names
-    span = pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())])
-    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
+    source = df.select(*[F.col(f"`{n}`") for n in names])
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            data, starts = textio.column_bytes(batch.column(len(names)))
+            _, starts = textio.column_bytes(batch.column(at))
             for a, z in textio.blocks(starts, 4_000_000):
-                found = _label_block(model, data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], penalty)
-                kept = [batch.column(i).slice(a, z - a) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], [*names, out])
+                part = batch.slice(a, z - a)
+                found = _label_block(model, *textio.column_bytes(pc.utf8_lower(part.column(at))), penalty, spans)
+                yield pa.RecordBatch.from_arrays([*part.columns, found], [*names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    spans = "array<struct<first_word:int,n_words:int,lang:string>>"
-    return source.mapInArrow(run, f"{schema}, `{out}` struct<lang:string,score:double,spans:{spans}>")
+    of_spans = ",spans:array<struct<first_word:int,n_words:int,lang:string>>" if spans else ""
+    return source.mapInArrow(run, f"{schema}, `{out}` struct<lang:string,score:double{of_spans}>")
 
 
-def _label_block(model: Model, data: np.ndarray, starts: np.ndarray, penalty: float) -> list[dict]:
+def _label_block(model: Model, data: np.ndarray, starts: np.ndarray, penalty: float, spans: bool) -> pa.StructArray:
     n, n_langs = len(starts) - 1, len(model.languages)
-    nothing = {"lang": UNDETERMINED, "score": 0.0, "spans": []}
-    if not n_langs:
-        return [nothing] * n
+    names = pa.array([*model.languages, UNDETERMINED], pa.string())
     # N-grams take memory, so few texts at a time; Viterbi takes steps as long as the longest text, so many at a time.
     parts = []
-    for a, z in textio.blocks(starts, 1_000_000):
-        grams, word, text, masks = word_grams(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], len(model.weights))
-        parts.append((word_scores(model, grams, word, masks), text + a))
+    for a, z in textio.blocks(starts, 500_000):
+        if n_langs:
+            grams, word, text, masks = word_grams(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], len(model.weights))
+            parts.append((word_scores(model, grams, word, masks), text + a))
     scores, text = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros((0, n_langs)), np.zeros(0, np.int64))
     chosen = viterbi(scores, text, n, penalty)
-    votes = np.bincount(text * n_langs + chosen, minlength=n * n_langs).reshape(n, n_langs)
-    total, winner = votes.sum(1), votes.argmax(1)
-    first = np.cumsum(total) - total
-    change = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])) if len(text) else np.zeros(0, np.int64)
-    size = np.diff(np.append(change, len(text)))
-    spans: list[list] = [[] for _ in range(n)]
-    for at, length in zip(change.tolist(), size.tolist(), strict=True):
-        spans[text[at]].append((at - int(first[text[at]]), length, model.languages[chosen[at]]))
-    return [
-        {"lang": model.languages[winner[i]], "score": float(votes[i, winner[i]] / total[i]), "spans": [dict(zip(("first_word", "n_words", "lang"), s, strict=True)) for s in spans[i]]}
-        if total[i] else nothing
-        for i in range(n)
-    ]
+    votes = np.bincount(text * n_langs + chosen, minlength=n * n_langs).reshape(n, n_langs) if n_langs else np.zeros((n, 1), np.int64)
+    total = votes.sum(1)
+    winner = np.where(total > 0, votes.argmax(1), n_langs)
+    columns = [names.take(pa.array(winner)), pa.array(votes.max(1) / np.maximum(total, 1), pa.float64())]
+    if spans:
+        first = np.cumsum(total) - total
+        change = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])])) if len(text) else np.zeros(0, np.int64)
+        size = np.diff(np.append(change, len(text)))
+        inner = [pa.array(change - first[text[change]], pa.int32()), pa.array(size, pa.int32()), names.take(pa.array(chosen[change]))]
+        ends = np.searchsorted(text[change], np.arange(n + 1)).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(inner, ["first_word", "n_words", "lang"])))
+    return pa.StructArray.from_arrays(columns, ["lang", "score", "spans"][: len(columns)])
 
 
 def held_out(doc_id: Column) -> Column:
