@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     known = docs.where(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     model = langid.fit(known, "text", "lang")
     label = free_name(docs, "language")
-    found = langid.label(docs, "text", model, out=label)
+    found = langid.label(docs, "text", model, out=label, spans=False)
     kept = (F.col(f"{label}.lang") != langid.UNDETERMINED) & (F.col(f"{label}.score") >= MIN_SHARE)
     return found.where(kept).select(*docs.columns)
 
