@@ -259,3 +259,31 @@ def test_benchmark_items(spark):
     assert decontam.contaminated(again, bench.unionByName(bench), "doc_id", "text", "item_id", "text").count() == len(want)
     assert decontam.contaminated(df.limit(0), bench, "doc_id", "text", "item_id", "text").count() == 0
     assert decontam.contaminated(df, bench.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_verbatim_items_are_all_found(spark):
+    """Items of 1 to 30 words in long and short documents, ties and repeats among them, against a plain search."""
+    rng = random.Random(12)
+    items = [(n * 10 + k, " ".join(prose(rng, n))) for n in (1, 2, 4, 5, 6, 7, 8, 15, 30) for k in range(4)]
+    items += [(900, items[20][1]), (901, None), (902, ""), (903, items[20][1] + " " + items[21][1])]
+    docs = []
+    for i, (_, text) in enumerate(items * 2):
+        own = prose(rng, rng.choice([0, 3, 40, 200]))
+        at = rng.randint(0, len(own))
+        docs.append((i, " ".join([*own[:at], (text or "").upper(), *own[at:]])))
+    docs += [(500, " ".join(prose(rng, 30000) + items[30][1].split())), (501, None), (None, items[30][1]), (0, docs[0][1])]
+    found = decontam.contaminated(
+        spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"),
+        "doc_id", "text", "item_id", "text",
+    ).collect()
+    pad = lambda t: f" {t.lower()} "
+    want = {(d, i) for d, text in docs for i, item in items if text and item and pad(item) in pad(text)}
+    assert want <= {(r["doc_id"], r["item_id"]) for r in found}
+    full = {(r["doc_id"], r["item_id"]): r for r in found if r["lcs"] == 1.0 and r["cosine"] == 1.0}
+    assert want <= set(full) and all(full[k]["answer"] for k in want)
+
+
+def test_candidate_windows_join(spark):
+    t, i, b, e = np.array([0, 0, 0, 1, 0]), np.array([1, 1, 1, 1, 0]), np.array([0, 300, 16, 0, 0]), np.array([64, 332, 48, 32, 32])
+    got = list(decontam._joined(t, i, b, e, np.array([0.7, 0.8, 0.9, 0.7, 0.7]), np.array([10, 10])))
+    assert got == [(0, 0, 0, 32, 0.7), (0, 1, 0, 64, 0.9), (0, 1, 300, 332, 0.8), (1, 1, 0, 32, 0.7)]
