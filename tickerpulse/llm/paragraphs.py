@@ -32,7 +32,7 @@ from tickerpulse.llm import textio
 from tickerpulse.llm.components import connected, local_roots
 from tickerpulse.llm.minhash import band_hashes, bands_for
 from tickerpulse.llm.ngram_join import verify
-from tickerpulse.llm.stored import free_name, stored
+from tickerpulse.llm.stored import free_name, release, stored
 from tickerpulse.session import cut_lineage
 
 BAND_ROWS = 4
@@ -200,10 +200,17 @@ def _alike(x: np.ndarray, y: np.ndarray, threshold: float, min_words: int) -> li
     return out
 
 
-def _lost_passages(rows: DataFrame, seeds: DataFrame, threshold: float, min_words: int, seed: int) -> DataFrame:
-    """id, first_word, n_words and keeper of the passages that a document with a smaller id holds."""
+def _shared_seeds(seeds: DataFrame) -> DataFrame:
+    """h, id, first_word and keeper, the smallest document with this seed, of the seeds of more than one document."""
     shared = seeds.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("h", "keeper")
+    shared = stored(shared, "shared")
     hits = stored(seeds.join(shared, "h").select("h", "id", "first_word", "keeper"), "hits")
+    release(shared)
+    return hits
+
+
+def _lost_passages(rows: DataFrame, hits: DataFrame, threshold: float, min_words: int, seed: int) -> DataFrame:
+    """id, first_word, n_words and keeper of the passages that a document with a smaller id holds."""
     places = hits.where("id = keeper").groupBy("h").agg(F.min("first_word").alias("k_first"))
     met = hits.where("id > keeper").join(places, "h").select("id", "first_word", "keeper", "k_first")
     chains = stored(met.groupBy("id").applyInArrow(
@@ -213,7 +220,9 @@ def _lost_passages(rows: DataFrame, seeds: DataFrame, threshold: float, min_word
         F.col(doc).alias("doc"), F.greatest(F.col(low) - REACH, F.lit(0)).alias("begin"), (F.col(high) + seed + REACH).alias("end"),
         F.col("id").alias("owner"), "chain", "keeper", F.lit(side).alias("side"),
     )
+    release(hits)
     wanted = stored(asked("id", "low", "high", 0).unionByName(asked("keeper", "k_low", "k_high", 1)), "asked")
+    release(chains)
     names = ["owner", "chain", "keeper", "side", "begin"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +278,11 @@ def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
     ), "lines")
     near = stored(_near_classes(rows, classes, threshold, min_line, block, block_grams), "near")
     equal = classes.where("keeper < last").select("h", "keeper").join(near.select("h"), "h", "left_anti")
-    lost = lines.join(near.unionByName(equal), "h").where("id > keeper").select("id", "first_word", "n_words", "keeper")
-    return _merged(lost.unionByName(_lost_passages(rows, seeds, threshold, min_words, seed)))
+    lost = stored(lines.join(near.unionByName(equal), "h").where("id > keeper").select("id", "first_word", "n_words", "keeper"), "lost")
+    release(classes, near)
+    hits = _shared_seeds(seeds)
+    release(found)
+    return _merged(lost.unionByName(_lost_passages(rows, hits, threshold, min_words, seed)))
 
 
 def _merged(lost: DataFrame) -> DataFrame:

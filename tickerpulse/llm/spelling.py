@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerpulse.llm import textio
-from tickerpulse.llm.stored import stored
+from tickerpulse.llm.stored import dropping_shuffles, stored
 from tickerpulse.session import work_path
 
 RUNS = r"[A-Za-zÀ-ÿ]+"
@@ -170,7 +170,8 @@ def neighbours(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     if most is None:
         return words.select("word", F.col("word").alias("near"), F.col("n").alias("near_n"))
     path = work_path(spark, "edges")
-    trie_edges(words, deepest).write.partitionBy("k").parquet(path)
+    with dropping_shuffles(spark):
+        trie_edges(words, deepest).write.partitionBy("k").parquet(path)
     edges = spark.read.parquet(path)
     starts = stored(first_states(words, deepest), "starts")
     levels: list[DataFrame] = []

@@ -2,16 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from tickerpulse.session import work_path
+from pyspark.sql import DataFrame, SparkSession
+
+from tickerpulse.session import remove, work_path
+
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside lets go of its shuffle files once it is written; the setting of the session comes back."""
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, read by column, and safe from lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_path(spark, name)
+    with dropping_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_in = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for table in tables:
+        remove(table.sparkSession, table.stored_in)
 
 
 def free_name(df: DataFrame, name: str) -> str:
