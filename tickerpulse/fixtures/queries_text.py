@@ -11,6 +11,7 @@ from tickerpulse.fixtures.tables import documents, lemmas, lexicon, links, posts
 from tickerpulse.functions import text as T
 from tickerpulse.functions.columns import class_code, score_class
 from tickerpulse.operators import daily, lexicon as L, models, tfidf
+from tickerpulse.operators.sentiment import Rule, score_bodies
 from tickerpulse.plans import refined, reports, trusted
 from tickerpulse.session import work_path
 from tickerpulse.sources import io
@@ -116,6 +117,39 @@ def context_score(spark, sf_dir):
     return scored.select("doc_id", "score")
 
 
+_RULE = Rule(_NEGATORS, _UP, _DOWN, contrast=("thea", "sich"), idioms={"the tion": -2.5, "des qui": 3.0})
+_BACK = ""
+for _i, _decay in enumerate(L.BOOST_DECAY, start=1):
+    _step = f"coalesce(sign(v) * ((CASE WHEN w{_i} IN {_literals(_UP)} THEN {L.BOOST} WHEN w{_i} IN {_literals(_DOWN)} THEN -{L.BOOST} END) + CASE WHEN mixed AND u{_i} THEN 0.733 ELSE 0.0 END) * {_decay}, 0.0)"
+    _factor = f"(CASE WHEN w{_i} IN {_literals(_NEGATORS)} THEN {L.NEGATION_FACTOR} ELSE 1.0 END)"
+    _BACK += f", a{_i} AS (SELECT *, CASE WHEN w{_i} IS NOT NULL AND v{_i} IS NULL THEN (x{_i - 1} + {_step}) * {_factor} ELSE x{_i - 1} END AS x{_i} FROM {'caps' if _i == 1 else f'a{_i - 1}'})"
+_IDIOM = "CASE w1 || ' ' || low " + " ".join(f"WHEN '{w}' THEN {v}" for w, v in _RULE.idioms.items()) + " END"
+
+
+@query("full_score", f"""
+WITH {S.LEXICON},
+b AS (SELECT doc_id, coalesce(text, '') AS body, regexp_replace(coalesce(text, ''), '\\$\\S+|http\\S+', '', 'g') AS bare FROM documents),
+ws AS (SELECT doc_id, body, list_filter(regexp_split_to_array(bare, '\\s+'), lambda w: w <> '') AS ws FROM b),
+raw AS (SELECT doc_id, body, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM ws),
+cased AS (SELECT doc_id, body, n, pos, CASE WHEN length(regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) > 2
+  THEN regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g') ELSE w END AS w FROM raw),
+low AS (SELECT *, regexp_replace(lower(w), '[''’]', '', 'g') AS low, upper(w) = w AND lower(w) <> w AS up FROM cased),
+k AS (SELECT low.*, CAST(valence AS DOUBLE) AS known FROM low LEFT JOIN lexicon ON low.low = token),
+d AS (SELECT *, count(*) FILTER (up) OVER a BETWEEN 1 AND n - 1 AS mixed, min(pos) FILTER (low IN ('thea', 'sich')) OVER a AS turn,
+  {', '.join(f'lag(low, {i}) OVER o AS w{i}, lag(known, {i}) OVER o AS v{i}, lag(up, {i}) OVER o AS u{i}' for i in (1, 2, 3))}
+  FROM k WINDOW a AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY pos)),
+v AS (SELECT *, coalesce({_IDIOM}, CASE WHEN low NOT IN {_literals(_UP + _DOWN)} THEN known END) AS v FROM d),
+caps AS (SELECT *, v + CASE WHEN mixed AND up THEN sign(v) * 0.733 ELSE 0.0 END AS x0 FROM v WHERE v IS NOT NULL){_BACK},
+least AS (SELECT *, CASE WHEN w1 = 'least' AND v1 IS NULL AND coalesce(w2 NOT IN ('at', 'very'), true) THEN x3 * {L.NEGATION_FACTOR} ELSE x3 END
+  * CASE WHEN pos < turn THEN 0.5 WHEN pos > turn THEN 1.5 ELSE 1.0 END AS x FROM a3),
+s AS (SELECT doc_id, any_value(body) AS body, list_sum(list(x ORDER BY pos)) AS t FROM least GROUP BY doc_id),
+q AS (SELECT doc_id, t, length(body) - length(replace(body, '!', '')) AS e, length(body) - length(replace(body, '?', '')) AS q FROM s),
+p AS (SELECT doc_id, t + sign(t) * (least(e, 4) * 0.292 + CASE WHEN q <= 1 THEN 0.0 WHEN q <= 3 THEN q * 0.18 ELSE 0.96 END) AS t FROM q)
+SELECT doc_id, coalesce(round(t / sqrt(t * t + 15), 4) + 0.0, 0.0) AS score FROM documents LEFT JOIN p USING (doc_id)""")
+def full_score(spark, sf_dir):
+    return score_bodies(_documents(spark, sf_dir), "doc_id", "text", lexicon(spark), "score", _RULE).select("doc_id", "score")
+
+
 _CORPUS = f"""WITH t AS (SELECT source, lang, unnest({S.refined('text')}) AS term FROM documents),
 c AS (SELECT source, lang, term, count(*) AS n FROM t GROUP BY ALL)"""
 

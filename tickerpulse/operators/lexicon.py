@@ -73,7 +73,7 @@ def _hashed(df: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     return df.select(key, F.xxhash64(tokens).alias("_tokens_hash"), tokens.alias("_tokens"))
 
 
-def _with_found(df: DataFrame, key: str, tokens: str | Column, found: DataFrame) -> DataFrame:
+def with_found(df: DataFrame, key: str, tokens: str | Column, found: DataFrame) -> DataFrame:
     """``df`` with what was found for each row's own tokens."""
     same = [F.col(key).eqNullSafe(F.col("_found_key")), F.xxhash64(tokens) == F.col("_tokens_hash")]
     return df.join(found.withColumnRenamed(key, "_found_key"), same, "left").drop("_found_key", "_tokens_hash")
@@ -82,13 +82,13 @@ def _with_found(df: DataFrame, key: str, tokens: str | Column, found: DataFrame)
 def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame, out: str = "lemmatized_tokens") -> DataFrame:
     """Each token replaced by its lemma where the table has one; order and repeats stay."""
     found = lookup(df, key, tokens, dictionary(lemmas=lemmas)).drop("valence_sum")
-    return _apply_lemmas(_with_found(df, key, tokens, found), tokens, out).drop("lemma_of")
+    return _apply_lemmas(with_found(df, key, tokens, found), tokens, out).drop("lemma_of")
 
 
 def score_tokens(df: DataFrame, key: str, tokens: str | Column, lexicon: DataFrame, out: str = "score_vader") -> DataFrame:
     """Compound score of each text; no hit or no text gives 0."""
     found = lookup(df, key, tokens, dictionary(lexicon=lexicon)).drop("lemma_of")
-    return _with_found(df, key, tokens, found).withColumn(out, compound(F.col("valence_sum"))).drop("valence_sum")
+    return with_found(df, key, tokens, found).withColumn(out, compound(F.col("valence_sum"))).drop("valence_sum")
 
 
 def lemmatize_and_score(
@@ -97,20 +97,25 @@ def lemmatize_and_score(
 ) -> DataFrame:
     """Both at once: one pass over the tokens, one shuffle of the hits, one join."""
     found = lookup(df, key, tokens, dictionary(lemmas, lexicon))
-    joined = _with_found(df, key, tokens, found).withColumn(score, compound(F.col("valence_sum")))
+    joined = with_found(df, key, tokens, found).withColumn(score, compound(F.col("valence_sum")))
     return _apply_lemmas(joined, tokens, out).drop("lemma_of", "valence_sum")
 
 
+def valences_of(df: DataFrame, key: str, tokens: str, lexicon: DataFrame) -> DataFrame:
+    """One row per text with a hit: ``_valences``, a map of its distinct tokens that the lexicon has."""
+    distinct = _hashed(df, key, tokens).withColumn("_tokens", F.array_distinct("_tokens"))
+    exploded = distinct.select(key, "_tokens_hash", F.explode_outer("_tokens").alias("token"))
+    return exploded.join(lexicon, "token").groupBy(key, "_tokens_hash").agg(
+        F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_valences")
+    )
+
+
 def score_with_context(
     df: DataFrame, key: str, tokens: str, lexicon: DataFrame, out: str = "score_vader",
     negators: Sequence[str] = NEGATORS, up: Sequence[str] = BOOSTERS_UP, down: Sequence[str] = BOOSTERS_DOWN,
 ) -> DataFrame:
     """Compound score in which the three tokens before a hit may strengthen, weaken or negate it."""
-    distinct = _hashed(df, key, tokens).withColumn("_tokens", F.array_distinct("_tokens"))
-    exploded = distinct.select(key, "_tokens_hash", F.explode_outer("_tokens").alias("token"))
-    valences = exploded.join(lexicon, "token").groupBy(key, "_tokens_hash").agg(
-        F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_valences")
-    )
+    valences = valences_of(df, key, tokens, lexicon)
     words, known = F.col(tokens), F.col("_valences")
 
     def in_context(token: Column, i: Column) -> Column:
@@ -126,7 +131,7 @@ def score_with_context(
         return F.coalesce(adjusted, F.lit(0.0))
 
     total = F.aggregate(F.transform(words, in_context), F.lit(0.0), lambda acc, v: acc + v)
-    scored = _with_found(df, key, tokens, valences)
+    scored = with_found(df, key, tokens, valences)
     return scored.withColumn(out, compound(F.when(known.isNotNull(), total))).drop("_valences")
 
 
