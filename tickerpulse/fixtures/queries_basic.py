@@ -174,6 +174,14 @@ def price_spine_ffill(spark, sf_dir):
     return filled.select("ticker", _text("date").alias("day"), F.round("adj_close", 4).alias("adj_close"))
 
 
+@query("price_segments_ffill", f"""
+WITH {S.ORDER_PRICES}, {S.changes()}
+SELECT ticker, strftime(date, '%Y-%m-%d') AS day, round(adj_close, 4) AS adj_close FROM filled""")
+def price_segments_ffill(spark, sf_dir):
+    filled = P.fill_calendar_in_segments(io.read_prices(order_prices(spark, sf_dir)), days=31)
+    return filled.select("ticker", _text("date").alias("day"), F.round("adj_close", 4).alias("adj_close"))
+
+
 def _labels_sql(limits: str, lead_days: int = 0) -> str:
     return f"""WITH {S.ORDER_PRICES}, {S.changes(lead_days)}, {limits}, {S.LABELS}
       SELECT ticker, strftime(date, '%Y-%m-%d') AS day, Y, round(Y2, 6) AS Y2 FROM labels_of_day"""

@@ -110,6 +110,38 @@ def bernoulli_sample(spark, sf_dir):
     return common.bernoulli_sample(table(spark, sf_dir, "events"), 0.1, seed=0)
 
 
+@query("random_split_parts", """
+SELECT c_nationkey, count(*) AS n, count(*) AS n_customers, CAST(0 AS BIGINT) AS in_both FROM customer GROUP BY 1""")
+def random_split_parts(spark, sf_dir):
+    """Whatever the seed: the two parts are the table, and no row is in both."""
+    rows = random_split(spark, sf_dir).groupBy("c_nationkey", "c_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("train").alias("parts"))
+    return rows.groupBy("c_nationkey").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_customers"), F.count_if(F.col("parts") > 1).alias("in_both")
+    )
+
+
+@query("bernoulli_sample_rows", """
+SELECT count(*) AS n_rows, true AS near_a_tenth, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS repeated FROM events""")
+def bernoulli_sample_rows(spark, sf_dir):
+    """Whatever the seed: a sample holds rows of the table, none twice, and a tenth of them to within five deviations."""
+    events = table(spark, sf_dir, "events").withColumn("_all", F.lit(1))
+    drawn = bernoulli_sample(spark, sf_dir).groupBy("event_id").agg(F.count(F.lit(1)).alias("k"))
+    joined = events.join(drawn, "event_id", "full")
+    n, k = F.count("_all"), F.coalesce(F.sum("k"), F.lit(0))
+    return joined.agg(
+        n.alias("n_rows"), (F.abs(k - n * 0.1) <= 5 * F.sqrt(n * 0.09) + 1).alias("near_a_tenth"),
+        F.count_if(F.col("_all").isNull()).alias("strangers"), F.count_if(F.col("k") > 1).alias("repeated"),
+    )
+
+
+@query("balance_sizes", """
+WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY 1)
+SELECT label, (SELECT max(n) FROM c) AS n FROM c""")
+def balance_sizes(spark, sf_dir):
+    """Whatever is simulated: all classes have the size of the largest."""
+    return balance(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _model_sets(spark, sf_dir):
     train, test = models.stratified_split(_vectors(spark, sf_dir), "label", "vec_id")
     return tuple(cut_lineage(models.to_vector(part, VECTOR_FEATURES).select("vec_id", "label", "features")) for part in (train, test))

@@ -80,6 +80,21 @@ def kde_grid(spark, sf_dir):
     return curve.select(CLASS, "feature", "point", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
 
 
+@query("kde_binned", """
+WITH s AS (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS total, stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS h FROM lineitem GROUP BY 1),
+w AS (SELECT *, (hi - lo) / ceil((hi - lo) / (h * sqrt(8 * 1e-4))) AS w FROM s),
+p AS (SELECT l_returnflag, (l_extendedprice - lo) / w AS p FROM lineitem JOIN w USING (l_returnflag)),
+m AS (SELECT l_returnflag, floor(p) AS bin, 1 - (p - floor(p)) AS mass FROM p UNION ALL SELECT l_returnflag, floor(p) + 1, p - floor(p) FROM p),
+b AS (SELECT l_returnflag, bin, sum(mass) AS mass FROM m GROUP BY ALL),
+g AS (SELECT *, CAST(unnest(range(0, 50)) AS INTEGER) AS point FROM w)
+SELECT l_returnflag, 'l_extendedprice' AS feature, point, round(lo + (hi - lo) / 49 * point, 4) AS x,
+  round(sum(mass * exp(-0.5 * pow((lo + (hi - lo) / 49 * point - (lo + w * bin)) / h, 2)) / (h * sqrt(2 * pi()) * total)), 10) AS density
+FROM g JOIN b USING (l_returnflag) GROUP BY l_returnflag, point, lo, hi""")
+def kde_binned(spark, sf_dir):
+    curve = explore.kernel_density_binned(_items(spark, sf_dir), ["l_extendedprice"], [CLASS], 50)
+    return curve.select(CLASS, "feature", "point", F.round("x", 4).alias("x"), F.round("density", 10).alias("density"))
+
+
 def _pairs_sql(function: str, out: str, where: str = "", keys: str = "") -> str:
     rows = [
         f"SELECT {keys}'{a}' AS feature_i, '{b}' AS feature_j, round({function}({a}, {b}), 6) + 0.0 AS {out} FROM lineitem{where}"
