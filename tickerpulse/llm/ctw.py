@@ -114,6 +114,27 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return code[new], np.add.reduceat(count, new)
 
 
+class Pool:
+    """Codes with counts that come in pieces. Pieces are merged once they are as many as what is there already, so
+    that a code is moved a few times only and memory holds about twice the distinct codes."""
+
+    def __init__(self):
+        self.code, self.count = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.pieces: list[tuple] = []
+        self.size = 0
+
+    def add(self, code: np.ndarray, count: np.ndarray) -> None:
+        self.pieces.append(merged([code], [count]))
+        self.size += len(self.pieces[-1][0])
+        if self.size > max(len(self.code), 1 << 20):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        self.code, self.count = merged([self.code, *(c for c, _ in self.pieces)], [self.count, *(n for _, n in self.pieces)])
+        self.pieces, self.size = [], 0
+        return self.code, self.count
+
+
 def packed(values: np.ndarray) -> bytes:
     """First all lowest bytes, then all second ones and so on: most of the higher ones are zero."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
@@ -151,8 +172,8 @@ def gathered(rows: DataFrame) -> DataFrame:
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, k) for c, k in zip(names, kinds, strict=True)], names)
 
-    def asked(block: int, own: list) -> pa.RecordBatch:
-        out = []
+    def asked(block: int, pools: tuple[Pool, Pool]) -> pa.RecordBatch:
+        own, out = [pool.all() for pool in pools], []
         for kind, bucket, low, high in buckets(own[0][0], own[1][0]):
             codes, counts = own[kind]
             out.append((bucket, high - low, packed_codes(codes[low:high]), packed(counts[low:high])))
@@ -161,17 +182,14 @@ def gathered(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size = TaskContext.get().partitionId() << 24, 0
-        nothing = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2
-        own = nothing
+        own = Pool(), Pool()
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
             for a, z, part in parts(batch.column("text")):
                 train = ~held[a:z]
                 code, text, count = part.grams()
-                new = [merged([code], [count * train[text]])]
-                code = np.append(part.tokens, np.full(z - a, END))
-                new.append(merged([code], [np.append(train[part.token_text], train).astype(np.int64)]))
-                own = [merged(*zip(x, y, strict=True)) for x, y in zip(own, new, strict=True)]
+                own[0].add(code, count * train[text])
+                own[1].add(np.append(part.tokens, np.full(z - a, END)), np.append(train[part.token_text], train).astype(np.int64))
                 yield batch_of(
                     z - a, kind=pa.array(np.zeros(z - a), pa.int32()), block=pa.array(np.full(z - a, block)), id=batch.column("id").slice(a, z - a),
                     held_out=batch.column("held_out").slice(a, z - a), text=batch.column("text").slice(a, z - a),
@@ -179,7 +197,7 @@ def gathered(rows: DataFrame) -> DataFrame:
                 size += len(part.stream)
                 if size >= BLOCK_BYTES:
                     yield asked(block, own)
-                    block, size, own = block + 1, 0, nothing
+                    block, size, own = block + 1, 0, (Pool(), Pool())
         if size:
             yield asked(block, own)
 
@@ -361,9 +379,13 @@ def scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         logs = [unpacked(data[i], n[i], np.float32) for i in order if bucket[i] < FIRST_TOKENS]
         seen = [unpacked(data[i], n[i], np.int64) for i in order if bucket[i] >= FIRST_TOKENS]
         logs, seen = (np.concatenate(x) if x else np.zeros(0) for x in (logs, seen))
-        codes, types_here = np.zeros(0, U64), np.array([END])
+        pools = Pool(), Pool()
+        pools[1].add(np.array([END]), np.ones(1, np.int64))
         for *_, part in parts(texts):
-            codes, types_here = np.union1d(codes, part.grams()[0]), np.union1d(types_here, part.tokens)
+            code, _, count = part.grams()
+            pools[0].add(code, count)
+            pools[1].add(part.tokens, np.ones(len(part.tokens), np.int64))
+        codes, types_here = (pool.all()[0] for pool in pools)
         out = []
         for a, z, part in parts(texts):
             code, text, count = part.grams()
