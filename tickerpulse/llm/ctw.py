@@ -327,7 +327,7 @@ def short_contexts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def answers(asked: DataFrame, counts: DataFrame, n_blocks: int, weights: np.ndarray, shares: np.ndarray) -> DataFrame:
-    """block, bucket, n, found: natural logarithms of n-grams (32-bit), counts of tokens (64-bit)."""
+    """block, bucket, n, codes, found: natural logarithms of n-grams (32-bit), counts of tokens (64-bit)."""
     shared = asked.sparkSession.sparkContext.broadcast((weights, shares))  # of fixed size
     salts = -(-n_blocks // FAN)
 
@@ -342,11 +342,12 @@ def answers(asked: DataFrame, counts: DataFrame, n_blocks: int, weights: np.ndar
             weights, shares = shared.value
             values = Tree(codes, total).log_probabilities([(weights[c], shares[c]) for c in (bucket >> 8, 256)]).astype(np.float32)
         found = [packed(values[np.searchsorted(codes, w)]) for w in wanted]
-        return pa.table([left.column("block"), pa.array([bucket] * len(n), pa.int32()), left.column("n"), pa.array(found, pa.binary())], ["block", "bucket", "n", "found"])
+        columns = [left.column("block"), pa.array([bucket] * len(n), pa.int32()), left.column("n"), left.column("codes"), pa.array(found, pa.binary())]
+        return pa.table(columns, ["block", "bucket", "n", "codes", "found"])
 
     left = asked.select("block", "bucket", "n", "codes", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
     right = counts.select("bucket", "n", "codes", "counts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(answer, "block long, bucket int, n int, found binary")
+    return left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(answer, "block long, bucket int, n int, codes binary, found binary")
 
 
 def in_training(doc_id: Column) -> Column:
@@ -373,19 +374,12 @@ def scores(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def add_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())
-        # The lists of the block in their order are the answers to its codes in theirs.
         order = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist()
-        bucket, n, data = (right.column(c).to_pylist() for c in ("bucket", "n", "found"))
-        logs = [unpacked(data[i], n[i], np.float32) for i in order if bucket[i] < FIRST_TOKENS]
-        seen = [unpacked(data[i], n[i], np.int64) for i in order if bucket[i] >= FIRST_TOKENS]
-        logs, seen = (np.concatenate(x) if x else np.zeros(0) for x in (logs, seen))
-        pools = Pool(), Pool()
-        pools[1].add(np.array([END]), np.ones(1, np.int64))
-        for *_, part in parts(texts):
-            code, _, count = part.grams()
-            pools[0].add(code, count)
-            pools[1].add(part.tokens, np.ones(len(part.tokens), np.int64))
-        codes, types_here = (pool.all()[0] for pool in pools)
+        bucket, n, asked, found = (right.column(c).to_pylist() for c in ("bucket", "n", "codes", "found"))
+        grams, types_here = [i for i in order if bucket[i] < FIRST_TOKENS], [i for i in order if bucket[i] >= FIRST_TOKENS]
+        joined = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, U64)
+        logs, seen = joined([unpacked(found[i], n[i], np.float32) for i in grams]), joined([unpacked(found[i], n[i], np.int64) for i in types_here])
+        codes, types_here = (joined([unpacked_codes(asked[i], n[i]) for i in x]) for x in (grams, types_here))
         out = []
         for a, z, part in parts(texts):
             code, text, count = part.grams()
