@@ -233,6 +233,7 @@ def label(df: DataFrame, text_col: str, model: Model, penalty: float = 6.0, out:
                 part = batch.slice(a, z - a)
                 found = _label_block(model, *textio.column_bytes(pc.utf8_lower(part.column(at))), penalty, spans)
                 yield pa.RecordBatch.from_arrays([*part.columns, found], [*names, out])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     of_spans = ",spans:array<struct<first_word:int,n_words:int,lang:string>>" if spans else ""

@@ -181,6 +181,7 @@ def digest(df: DataFrame, id_col: str, text_col: str, model: str) -> DataFrame:
                     rows.append((int(at[i + 1] - at[i]), zlib.crc32(coded[4 * at[i] : 4 * at[i + 1]]), len(back), zlib.crc32(back), same))
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), *columns], ["doc_id", *names])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, n_pieces long, ids_crc32 long, n_bytes long, text_crc32 long, round_trip boolean")
