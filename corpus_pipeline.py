@@ -7,6 +7,7 @@ that change get their new length as n_chars. Rows with a NULL id pass the stages
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from tickerpulse.llm import decontam, langid, ngram_join, paragraphs, pieces
 from tickerpulse.llm.stored import free_name, stored
 
+ROWS_PER_BATCH = "1000"  # texts are long: Arrow batches of the usual 10 000 of them take tens of MB on both sides
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MIN_SHARE = 0.4  # of the words in one language
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,18 +60,28 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage, run and written with few rows per Arrow batch."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with proof that they give the text back."""
     return pieces.digest(docs, "doc_id", "text", PIECE_MODEL)
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
-    ("language", identify_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("repeated_passages", cut_repeated_passages),
-    ("benchmark", drop_benchmark_items),
-    ("pieces", encode_pieces),
+    ("language", in_small_batches(identify_language)),
+    ("near_duplicates", in_small_batches(drop_near_duplicates)),
+    ("repeated_passages", in_small_batches(cut_repeated_passages)),
+    ("benchmark", in_small_batches(drop_benchmark_items)),
+    ("pieces", in_small_batches(encode_pieces)),
 ]
 # Trained scores, banding, latent retrieval and Viterbi segmentation have no SQL; tests hold the stages against
 # brute force.
