@@ -282,7 +282,9 @@ def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
     release(classes, near)
     hits = _shared_seeds(seeds)
     release(found)
-    return _merged(lost.unionByName(_lost_passages(rows, hits, threshold, min_words, seed)))
+    # Written, so that what was shuffled to find them is gone before the texts are shuffled to cut them.
+    passages = stored(_lost_passages(rows, hits, threshold, min_words, seed), "passages")
+    return _merged(lost.unionByName(passages))
 
 
 def _merged(lost: DataFrame) -> DataFrame:
