@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickerpulse.llm import components, decontam, ngram_join, paragraphs, vecdedup
 from tickerpulse.llm.minhash import bands_for
 from tickerpulse.llm.ngram_join import verify
+from tickerpulse.llm.stored import stored
 from tickerpulse.llm.textio import WORD_PATTERN
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -172,6 +173,28 @@ def test_paragraphs(spark):
     assert paragraphs.removals(df.limit(0), "doc_id", "h").count() == 0
 
 
+def test_repeated_seeds(spark):
+    rng = random.Random(28)
+    shared = [prose(rng, 40) for _ in range(4)]
+    texts = [(i, " ".join(prose(rng, 50) + (shared[i % 4] if i % 3 else []) + prose(rng, 50))) for i in range(60)]
+    texts += [(7, texts[8][1]), (9, texts[9][1]), (61, ""), (62, "few words")]  # ids that repeat; a text that repeats under its own id only
+    rows = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])])
+    text, at, hashes = paragraphs._seeds(data, starts, 10, 13)
+    places = {}
+    for t, a, h in zip(text.tolist(), at.tolist(), hashes.view(np.int64).tolist(), strict=True):
+        places.setdefault(h, []).append((texts[t][0], a))
+    want = sorted((h, i, a) for h, found in places.items() if len({i for i, _ in found}) > 1 for i, a in found)
+    assert want
+    for most, share in ((50, 30), (1 << 19, 1 << 20)):
+        found = stored(paragraphs.paragraphs(rows, 5, 10, 13, 2, most), "found")
+        hits = paragraphs._shared_seeds(paragraphs._repeated_seeds(found, share))
+        assert sorted((r["h"], r["id"], r["first_word"]) for r in hits.collect()) == want
+        assert all(r["keeper"] == min(i for i, _ in places[r["h"]]) for r in hits.collect())
+    assert paragraphs._repeated_seeds(stored(paragraphs.paragraphs(rows.limit(0), 5, 10, 13, 2), "found")).count() == 0
+
+
 def test_short_lines_and_near_passages(spark):
     rng = random.Random(18)
     line, passage, refrain = prose(rng, 9), prose(rng, 100), [w for x in prose(rng, 30) for w in ("tra", "la", x)]

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,13 @@ BAND_ROWS = 4
 SIZE = 5
 PERIOD = 12
 REACH = 64  # words compared on both sides of the seeds that two documents share
+UNIT = 1 << 19  # seeds kept in one row
+SHARE = 1 << 20  # seeds whose hashes one group compares
+
+_FOUND = pa.schema([
+    ("id", pa.int64()), ("h", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("bands", pa.list_(pa.int64())), ("unit", pa.int64()),
+    ("n_seeds", pa.int32()), ("seed_hashes", pa.binary()), ("seed_words", pa.binary()), ("seed_ids", pa.binary()),
+])
 
 
 def _line_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -77,10 +85,25 @@ def _seeds(data: np.ndarray, starts: np.ndarray, seed: int, spread: int):
     return owner[at], at - first[owner[at]], textio.sequence_hashes(hashes, at, at + seed)
 
 
-def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: int) -> DataFrame:
-    """Every line and seed of ``rows`` (id, text): id, hash, first word, number of words, and band hashes (NULL for seeds)."""
+def _units(task: int, unit: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``most`` seeds or fewer: their hashes, first words and documents as the bytes of three arrays."""
+    ids, at, hashes = (np.concatenate(c) for c in zip(*held, strict=True))
+    for a in range(0, len(hashes), most):
+        own = slice(a, a + most)
+        values = {
+            "n_words": seed, "unit": (task << 32) + unit, "n_seeds": len(hashes[own]), "seed_hashes": hashes[own].tobytes(),
+            "seed_words": at[own].astype(np.int32).tobytes(), "seed_ids": ids[own].astype(np.int64).tobytes(),
+        }
+        yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in _FOUND], schema=_FOUND)
+        unit += 1
+
+
+def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: int, most: int = UNIT) -> DataFrame:
+    """Every line of ``rows`` (id, text): id, hash, first word, number of words, band hashes. Beside them the seeds, packed
+    into units (``_units``), each a row without id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, unit, held, n_held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             ids = batch.column("id").to_numpy()
             data, starts = textio.column_bytes(batch.column("text"))
@@ -88,15 +111,88 @@ def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: in
                 own, place = data[starts[a] : starts[z]], starts[a : z + 1] - starts[a]
                 text, at, n, values, offsets = _lines(own, place, min_line)
                 found = band_hashes(values, offsets, bands, BAND_ROWS) if len(text) else np.zeros((0, bands), np.int64)
+                none = [pa.nulls(len(text), f.type) for f in list(_FOUND)[5:]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[a:z][text]), pa.array(_set_hashes(values, offsets).view(np.int64)), pa.array(at, pa.int32()), pa.array(n, pa.int32()),
+                    textio.lists(found.reshape(-1), np.arange(len(text) + 1) * bands, pa.int64()), *none,
+                ], schema=_FOUND)
                 other, where, hashes = _seeds(own, place, seed, spread)
-                columns = [
-                    pa.array(ids[a:z][np.concatenate([text, other])]), pa.array(np.concatenate([_set_hashes(values, offsets), hashes]).view(np.int64)),
-                    pa.array(np.concatenate([at, where]), pa.int32()), pa.array(np.concatenate([n, np.full(len(other), seed)]), pa.int32()),
-                    pa.concat_arrays([textio.lists(found.reshape(-1), np.arange(len(text) + 1) * bands, pa.int64()), pa.nulls(len(other), pa.list_(pa.int64()))]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "first_word", "n_words", "bands"])
+                held.append((ids[a:z][other], where, hashes))
+                n_held += len(hashes)
+                if n_held >= most:
+                    yield from _units(task, unit, held, seed, most)
+                    unit, held, n_held = unit + -(-n_held // most), [], 0
+        if n_held:
+            yield from _units(task, unit, held, seed, most)
+
+    return rows.mapInArrow(
+        run, "id long, h long, first_word int, n_words int, bands array<long>, unit long, n_seeds int, seed_hashes binary, seed_words binary, seed_ids binary"
+    )
+
 
-    return rows.mapInArrow(run, "id long, h long, first_word int, n_words int, bands array<long>")
+def _array(value: pa.BinaryScalar, kind: type) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _repeated_seeds(found: DataFrame, share_seeds: int = SHARE) -> DataFrame:
+    """h, id and first_word of the seeds that stand in more than one document.
+
+    Most stand in one only. To tell them apart, the distinct hashes of every unit are cut into shares by their leading
+    bits, so a seed of a third of all documents comes once per unit; the share tells each unit which of its own
+    hashes another unit has as well, and only those leave it with their documents.
+    """
+    units = found.where("unit IS NOT NULL")
+    total = units.agg(F.sum("n_seeds")).first()[0] or 0
+    shares = max(1, -(-total // share_seeds))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes, ids = _array(batch.column("seed_hashes")[i], np.uint64), _array(batch.column("seed_ids")[i], np.int64)
+                order = np.argsort(hashes, kind="stable")
+                hashes, ids = hashes[order], ids[order]
+                new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                many = np.minimum.reduceat(ids, new) != np.maximum.reduceat(ids, new)
+                hashes = hashes[new]
+                share, first = np.unique(((hashes >> np.uint64(32)) * np.uint64(shares)) >> np.uint64(32), return_index=True)
+                ends = np.append(first[1:], len(hashes))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(share.astype(np.int64)), pa.array(np.full(len(share), batch.column("unit")[i].as_py()), pa.int64()),
+                    pa.array([hashes[a:z].tobytes() for a, z in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                    pa.array([many[a:z].tobytes() for a, z in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                ], ["share", "unit", "hashes", "many"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        parts = [_array(x, np.uint64) for x in table.column("hashes")]
+        hashes, many = np.concatenate(parts), np.concatenate([_array(x, np.bool_) for x in table.column("many")])
+        order = np.argsort(hashes, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(hashes[order]) != 0]))
+        n = np.diff(np.append(new, len(hashes)))
+        wanted = np.zeros(len(hashes), bool)
+        wanted[order] = np.repeat((n > 1) | np.logical_or.reduceat(many[order], new), n)
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        asked = [p[w].tobytes() for p, w in zip(parts, np.split(wanted, ends), strict=True)]
+        out = pa.table([table.column("unit"), pa.array(asked, pa.binary())], ["unit", "wanted"])
+        return out.filter(pa.array([len(x) > 0 for x in asked]))
+
+    shared = units.select("unit", "seed_hashes", "seed_ids").mapInArrow(split, "share long, unit long, hashes binary, many binary")
+    asked = stored(shared.groupBy("share").applyInArrow(compare, "unit long, wanted binary"), "asked_seeds")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = _array(batch.column("seed_hashes")[i], np.uint64)
+                wanted = np.sort(np.concatenate([_array(x, np.uint64) for x in batch.column("wanted")[i].values]))
+                at = np.searchsorted(wanted, hashes)
+                there = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == hashes)
+                ids, words = _array(batch.column("seed_ids")[i], np.int64), _array(batch.column("seed_words")[i], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[there].view(np.int64)), pa.array(ids[there]), pa.array(words[there])], ["h", "id", "first_word"])
+
+    lists = asked.groupBy("unit").agg(F.collect_list("wanted").alias("wanted"))  # at most the hashes of one unit
+    met = units.select("unit", "seed_hashes", "seed_words", "seed_ids").join(lists, "unit").drop("unit")
+    repeated = stored(met.mapInArrow(answer, "h long, id long, first_word int"), "repeated_seeds")
+    release(asked)
+    return repeated
 
 
 def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_line: int, block: int, block_grams: int) -> DataFrame:
@@ -205,7 +301,7 @@ def _shared_seeds(seeds: DataFrame) -> DataFrame:
     shared = seeds.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("h", "keeper")
     shared = stored(shared, "shared")
     hits = stored(seeds.join(shared, "h").select("h", "id", "first_word", "keeper"), "hits")
-    release(shared)
+    release(shared, seeds)
     return hits
 
 
@@ -272,7 +368,7 @@ def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     bands = bands_for(threshold, recall, BAND_ROWS)
     found = stored(paragraphs(rows, min_line, seed, spread, bands), "paragraphs")
-    lines, seeds = found.where("bands IS NOT NULL"), found.where("bands IS NULL").drop("bands")
+    lines = found.where("unit IS NULL").select("id", "h", "first_word", "n_words", "bands")
     classes = stored(lines.groupBy("h").agg(
         F.min("id").alias("keeper"), F.max("id").alias("last"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")
     ), "lines")
@@ -280,8 +376,9 @@ def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
     equal = classes.where("keeper < last").select("h", "keeper").join(near.select("h"), "h", "left_anti")
     lost = stored(lines.join(near.unionByName(equal), "h").where("id > keeper").select("id", "first_word", "n_words", "keeper"), "lost")
     release(classes, near)
-    hits = _shared_seeds(seeds)
+    seeds = _repeated_seeds(found)
     release(found)
+    hits = _shared_seeds(seeds)
     # Written, so that what was shuffled to find them is gone before the texts are shuffled to cut them.
     passages = stored(_lost_passages(rows, hits, threshold, min_words, seed), "passages")
     return _merged(lost.unionByName(passages))
