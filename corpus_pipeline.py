@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerpulse.llm import decontam, langid, ngram_join, paragraphs, pieces
-from tickerpulse.llm.stored import free_name, stored
+from tickerpulse.llm.stored import free_name, release, stored
 
 ROWS_PER_BATCH = "1000"  # texts are long: Arrow batches of the usual 10 000 of them take tens of MB on both sides
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -89,8 +89,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on ``documents``, each written and read again; what the next has read whole goes."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(*read)
+        read = [docs]
     return docs
