@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tickerpulse.llm import components, decontam, ngram_join, paragraphs, vecdedup
+from tickerpulse.llm import components, decontam, ngram_join, paragraphs, textio, vecdedup
 from tickerpulse.llm.minhash import bands_for
 from tickerpulse.llm.ngram_join import verify
 from tickerpulse.llm.stored import stored
@@ -181,7 +181,7 @@ def test_repeated_seeds(spark):
     rows = spark.createDataFrame(texts, "id long, text string").repartition(3)
     data = np.frombuffer("".join(t for _, t in texts).encode(), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(t) for _, t in texts])])
-    text, at, hashes = paragraphs._seeds(data, starts, 10, 13)
+    text, at, hashes = paragraphs._seeds(textio.words(data, starts), 10, 13)
     places = {}
     for t, a, h in zip(text.tolist(), at.tolist(), hashes.view(np.int64).tolist(), strict=True):
         places.setdefault(h, []).append((texts[t][0], a))

@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerpulse.llm import textio
@@ -53,9 +54,9 @@ def _line_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([starts, np.flatnonzero(data == 10) + 1]))
 
 
-def _lines(data: np.ndarray, starts: np.ndarray, min_words: int):
-    """Text, first word, number of words and n-gram set of every line long enough."""
-    begin, _, hashes, first = textio.words(data, starts)
+def _lines(data: np.ndarray, starts: np.ndarray, min_words: int, words: tuple[np.ndarray, ...]):
+    """Text, first word, number of words and n-gram set of every line long enough; ``words`` as ``textio.words`` gives them."""
+    begin, _, hashes, first = words
     at = _line_starts(data, starts)
     line_first = np.searchsorted(begin, at)
     n = np.diff(line_first)
@@ -70,15 +71,15 @@ def _set_hashes(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return textio.mix(np.add.reduceat(textio.mix(values), offsets[:-1]) + np.diff(offsets).astype(np.uint64)) if len(offsets) > 1 else np.zeros(0, np.uint64)
 
 
-def _seeds(data: np.ndarray, starts: np.ndarray, seed: int, spread: int):
+def _seeds(words: tuple[np.ndarray, ...], seed: int, spread: int):
     """Text, first word and hash of every seed of a passage."""
-    _, _, hashes, first = textio.words(data, starts)
+    _, _, hashes, first = words
     n = len(hashes)
     if n < max(seed, SIZE + spread):
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     whole = textio.sequence_hashes(hashes, np.arange(n - SIZE + 1), np.arange(SIZE, n + 1))
     view = np.lib.stride_tricks.sliding_window_view(whole, spread)
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(first))
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     inside = owner[: len(view)] == owner[spread + SIZE - 2 :]  # all these n-grams are of one text
     at = np.unique(np.compress(inside, np.arange(len(view)) + view.argmin(1)))
     at = at[at + seed <= first[1:][owner[at]]]
@@ -109,14 +110,15 @@ def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: in
             data, starts = textio.column_bytes(batch.column("text"))
             for a, z in textio.blocks(starts):
                 own, place = data[starts[a] : starts[z]], starts[a : z + 1] - starts[a]
-                text, at, n, values, offsets = _lines(own, place, min_line)
+                words = textio.words(own, place)
+                text, at, n, values, offsets = _lines(own, place, min_line, words)
                 found = band_hashes(values, offsets, bands, BAND_ROWS) if len(text) else np.zeros((0, bands), np.int64)
                 none = [pa.nulls(len(text), f.type) for f in list(_FOUND)[5:]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[a:z][text]), pa.array(_set_hashes(values, offsets).view(np.int64)), pa.array(at, pa.int32()), pa.array(n, pa.int32()),
                     textio.lists(found.reshape(-1), np.arange(len(text) + 1) * bands, pa.int64()), *none,
                 ], schema=_FOUND)
-                other, where, hashes = _seeds(own, place, seed, spread)
+                other, where, hashes = _seeds(words, seed, spread)
                 held.append((ids[a:z][other], where, hashes))
                 n_held += len(hashes)
                 if n_held >= most:
@@ -213,7 +215,8 @@ def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_lin
             data, starts = textio.column_bytes(batch.column("text"))
             asked = batch.column("wanted").to_pylist()
             for a, z in textio.blocks(starts):
-                text, _, _, values, offsets = _lines(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a], min_line)
+                own, place = data[starts[a] : starts[z]], starts[a : z + 1] - starts[a]
+                text, _, _, values, offsets = _lines(own, place, min_line, textio.words(own, place))
                 hashes = _set_hashes(values, offsets).view(np.int64)
                 left = [set(x) for x in asked[a:z]]
                 chosen = [i for i, (t, h) in enumerate(zip(text.tolist(), hashes.tolist(), strict=True)) if h in left[t] and not left[t].remove(h)]
@@ -247,19 +250,15 @@ def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_lin
     return clusters.drop("keeper").join(keepers, "component").select(F.col("node").alias("h"), "keeper")
 
 
-def _chains(table: pa.Table) -> pa.Table:
+def _chains(met: DataFrame) -> DataFrame:
     """Seeds of one document that follow each other in the same other document, as one row: id, chain, their place in both."""
-    first, keeper, at = (table.column(c).to_numpy() for c in ("first_word", "keeper", "k_first"))
-    order = np.lexsort((at, first, keeper))
-    first, keeper, at = (x[order].astype(np.int64) for x in (first, keeper, at))
-    step, other = np.diff(first), np.diff(at)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(keeper) != 0) | (step > REACH) | (np.abs(other - step) > REACH)]))
-    last = np.append(new[1:], len(first)) - 1
-    columns = [
-        pa.array(np.full(len(new), table.column("id")[0].as_py()), pa.int64()), pa.array(np.arange(len(new)), pa.int32()), pa.array(keeper[new]),
-        pa.array(first[new]), pa.array(first[last]), pa.array(np.minimum.reduceat(at, new)), pa.array(np.maximum.reduceat(at, new)),
-    ]
-    return pa.table(columns, ["id", "chain", "keeper", "low", "high", "k_low", "k_high"])
+    follow = Window.partitionBy("id", "keeper").orderBy("first_word", "k_first")  # the seeds of one document at most
+    step, other = (F.col(c) - F.lag(c).over(follow) for c in ("first_word", "k_first"))
+    new = F.coalesce((step > REACH) | (F.abs(other - step) > REACH), F.lit(False)).cast("int")
+    chain = F.sum("new").over(follow.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return met.withColumn("new", new).withColumn("chain", chain).groupBy("id", "keeper", "chain").agg(
+        F.min("first_word").alias("low"), F.max("first_word").alias("high"), F.min("k_first").alias("k_low"), F.max("k_first").alias("k_high")
+    )
 
 
 def _alike(x: np.ndarray, y: np.ndarray, threshold: float, min_words: int) -> list[tuple[int, int]]:
@@ -275,8 +274,11 @@ def _alike(x: np.ndarray, y: np.ndarray, threshold: float, min_words: int) -> li
     low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
     at = np.flatnonzero(low < high)
     where = np.zeros(len(at), np.int64)  # of the places in y, the one that follows best
+    single = bool((high[at] - low[at] == 1).all())
+    if single:
+        where = order[low[at]]
     follows = -1
-    for i, (a, z) in enumerate(zip(low[at].tolist(), high[at].tolist(), strict=True)):
+    for i, (a, z) in enumerate(() if single else zip(low[at].tolist(), high[at].tolist(), strict=True)):
         places = order[a:z]
         follows = int(places[0] if follows < 0 or z - a == 1 else places[np.abs(places - follows - 1).argmin()])
         where[i] = follows
@@ -309,11 +311,10 @@ def _lost_passages(rows: DataFrame, hits: DataFrame, threshold: float, min_words
     """id, first_word, n_words and keeper of the passages that a document with a smaller id holds."""
     places = hits.where("id = keeper").groupBy("h").agg(F.min("first_word").alias("k_first"))
     met = hits.where("id > keeper").join(places, "h").select("id", "first_word", "keeper", "k_first")
-    chains = stored(met.groupBy("id").applyInArrow(
-        _chains, "id long, chain int, keeper long, low long, high long, k_low long, k_high long"
-    ), "chains")
+    chains = stored(_chains(met), "chains")
     asked = lambda doc, low, high, side: chains.select(
-        F.col(doc).alias("doc"), F.greatest(F.col(low) - REACH, F.lit(0)).alias("begin"), (F.col(high) + seed + REACH).alias("end"),
+        F.col(doc).alias("doc"), F.greatest(F.col(low) - REACH, F.lit(0)).cast("long").alias("begin"),
+        (F.col(high) + seed + REACH).cast("long").alias("end"),
         F.col("id").alias("owner"), "chain", "keeper", F.lit(side).alias("side"),
     )
     release(hits)
@@ -323,11 +324,17 @@ def _lost_passages(rows: DataFrame, hits: DataFrame, threshold: float, min_words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = textio.column_bytes(batch.column("text"))
-            begin, end = batch.column("begin").to_numpy(), batch.column("end").to_numpy()
-            for a, z in textio.blocks(starts):
-                _, _, hashes, first = textio.words(data[starts[a] : starts[z]], starts[a : z + 1] - starts[a])
-                low, high = (np.minimum(first[:-1] + x[a:z], first[1:]) for x in (begin, end))
+            text, begin, end = batch.column("text"), batch.column("begin").to_numpy(), batch.column("end").to_numpy()
+            # Rows that ask for one document follow each other: its words are hashed once.
+            new = np.ones(len(text), bool)
+            new[1:] = ~pc.equal(text.slice(1), text.slice(0, max(len(text) - 1, 0))).to_numpy(zero_copy_only=False)
+            rows_of = np.append(np.flatnonzero(new), len(text))
+            data, starts = textio.column_bytes(text.filter(pa.array(new)))
+            for p, q in textio.blocks(starts):
+                _, _, hashes, first = textio.words(data[starts[p] : starts[q]], starts[p : q + 1] - starts[p])
+                a, z = rows_of[p], rows_of[q]
+                own = np.repeat(np.arange(q - p), np.diff(rows_of[p : q + 1]))
+                low, high = (np.minimum(first[own] + x[a:z], first[own + 1]) for x in (begin, end))
                 ends = np.concatenate([[0], np.cumsum(high - low)])
                 flat = hashes[np.repeat(low - ends[:-1], high - low) + np.arange(ends[-1])]
                 kept = [batch.column(c).slice(a, z - a) for c in names]
@@ -386,19 +393,14 @@ def removals(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
 
 def _merged(lost: DataFrame) -> DataFrame:
     """Stretches of one document that overlap or touch become one. A document's stretches are as many as its words at most."""
-    return lost.groupBy("id").applyInArrow(_merge_one, "doc_id long, first_word int, n_words int, kept_in array<long>")
-
-
-def _merge_one(table: pa.Table) -> pa.Table:
-    first, n, keeper = (table.column(c).to_numpy() for c in ("first_word", "n_words", "keeper"))
-    order = np.argsort(first, kind="stable")
-    first, end, keeper = first[order], np.maximum.accumulate((first + n)[order]), keeper[order]
-    new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
-    last = np.append(new[1:], len(first)) - 1
-    kept = [sorted(set(keeper[a : z + 1].tolist())) for a, z in zip(new.tolist(), last.tolist(), strict=True)]
-    ids = pa.array(np.full(len(new), table.column("id")[0].as_py()), pa.int64())
-    columns = [ids, pa.array(first[new], pa.int32()), pa.array(end[last] - first[new], pa.int32()), pa.array(kept, pa.list_(pa.int64()))]
-    return pa.table(columns, ["doc_id", "first_word", "n_words", "kept_in"])
+    ordered = Window.partitionBy("id").orderBy("first_word")
+    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    marked = lost.withColumn("end", F.col("first_word") + F.col("n_words")).withColumn("new", F.coalesce(F.col("first_word") > before, F.lit(True)).cast("int"))
+    merged = marked.withColumn("part", part).groupBy("id", "part").agg(
+        F.min("first_word").alias("first_word"), F.max("end").alias("end"), F.sort_array(F.collect_set("keeper")).alias("kept_in")
+    )
+    return merged.select(F.col("id").alias("doc_id"), "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "kept_in")
 
 
 _WORD = re.compile(textio.WORD_PATTERN)
