@@ -8,7 +8,7 @@ from tickerpulse.fixtures.registry import query
 from tickerpulse.fixtures.tables import documents, table
 from tickerpulse.functions.text import words_refined
 from tickerpulse.operators import balance as B
-from tickerpulse.operators import common, models, neighbors, outliers
+from tickerpulse.operators import common, models, neighbors, outlier_rounds, outliers
 from tickerpulse.plans import modelling
 from tickerpulse.session import cut_lineage
 
@@ -94,6 +94,16 @@ def outlier_projection(spark, sf_dir):
     return kept.select("l_returnflag", "row_id", *ITEM_FEATURES)
 
 
+@query("outlier_one_by_one")
+def outlier_one_by_one(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.pow("o_totalprice", F.lit(2.0)).alias("price"),
+        F.dayofyear("o_orderdate").cast("double").alias("day"), F.col("o_custkey").cast("double").alias("customer"),
+    )
+    kept = outlier_rounds.remove_outliers_one_by_one(orders, "o_orderpriority", "o_orderkey", ["price", "day", "customer"])
+    return orders.join(kept.select("o_orderkey", F.lit(True).alias("kept")), "o_orderkey", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 @query("balance")
 def balance(spark, sf_dir):
     return B.balance(_vectors(spark, sf_dir), "label", LEADING_FEATURES)

@@ -16,6 +16,7 @@ from tickerpulse.operators.models import (
 )
 from tickerpulse.operators.mvstats import redundant_features, scale, scaler
 from tickerpulse.operators.neighbors import classify, nearest, vote
+from tickerpulse.operators.outlier_rounds import remove_outliers_one_by_one
 from tickerpulse.operators.outliers import remove_outliers
 from tickerpulse.session import cut_lineage
 
@@ -27,9 +28,13 @@ def refined_to_model(
     """Metrics of three classifiers: (model, sample, n, accuracy, answered, unanswered, accuracy_answered).
 
     The observed rows are split before anything is fitted: scaler, simulated rows and models see the training
-    part only, and the test part holds no simulated row.
+    part only, and the test part holds no simulated row. One row ``per_round`` is the literal outlier rule.
     """
-    clean = remove_outliers(refined.select(key, label, *features).dropna(), label, key, features, per_round, directions=directions, seed=seed, method=method)
+    rows = refined.select(key, label, *features).dropna()
+    if per_round == 1 and method == "moments":
+        clean = remove_outliers_one_by_one(rows, label, key, features, directions=directions, seed=seed)
+    else:
+        clean = remove_outliers(rows, label, key, features, per_round, directions=directions, seed=seed, method=method)
     kept = [f for f in features if f not in redundant_features(clean, features, redundancy_cut)]
     train, test = stratified_split(clean, label, key, seed=seed)
     balanced = balance(train, label, kept, seed=seed)
