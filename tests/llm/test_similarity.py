@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -306,6 +307,37 @@ def test_verbatim_items_are_all_found(spark):
     assert want <= set(full) and all(full[k]["answer"] for k in want)
 
 
+def test_axes_and_counts_come_from_all_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS[:40]) for _ in range(rng.randint(1, 60))) for _ in range(2400)]
+    texts[:3] = ["?", "w0 W0 none", texts[3]]
+    items = [(1, " ".join(WORDS[:9])), (2, " ".join(WORDS[5:14]))]
+    seen, latent_axes = [], decontam.latent_axes
+    monkeypatch.setattr(decontam, "latent_axes", lambda lists, of, idf, rank: seen.append((lists.count(), of, idf, latent_axes(lists, of, idf, rank))) or seen[-1][3])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    decontam.contaminated(df, spark.createDataFrame(items, "item_id long, text string"), "doc_id", "text", "item_id", "text")
+    (n_texts, of, idf, axes), = seen
+    split = [[w for w in t.lower().split() if w != "?"] for t in texts]
+    assert n_texts == len({tuple(w) if w else t for t, w in zip(texts, split, strict=True)})
+    number = {w: int(of.numbers(textio.words(*textio.column_bytes(pa.array([w])))[2])[0]) for w in WORDS[:40]}
+    counts = np.zeros(len(of.terms))
+    for words in split:
+        for t in {number.get(w, -1) for w in words} - {-1}:
+            counts[t] += 1
+    assert idf == pytest.approx(np.log((len(texts) + 1) / (counts + 1)) + 0.05, rel=1e-5)
+    gram = np.zeros((len(of.terms),) * 2)  # the windows of all texts, copies once
+    for words in {tuple(w) for w in split}:
+        for a in range(0, len(words), decontam.STEP):
+            found = [number[w] for w in words[a : a + 2 * decontam.STEP] if number.get(w, -1) >= 0]
+            row = np.bincount(found, minlength=len(idf)) * idf
+            gram += np.outer(row, row) / max((idf[found] ** 2).sum(), 1e-9)
+    own = np.stack([np.bincount(of.numbers(w), minlength=len(of.terms)) * idf for w in of.words])
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    both = gram / np.trace(gram) + own.T @ own / len(own)
+    inside = axes.T @ both @ axes
+    assert np.diag(inside) == pytest.approx(np.sort(np.linalg.eigvalsh(both))[::-1][: axes.shape[1]], abs=1e-4)
+
+
 def test_candidate_windows_join(spark):
     t, i, b, e = np.array([0, 0, 0, 1, 0]), np.array([1, 1, 1, 1, 0]), np.array([0, 300, 16, 0, 0]), np.array([64, 332, 48, 32, 32])
     got = list(decontam._joined(t, i, b, e, np.array([0.7, 0.8, 0.9, 0.7, 0.7]), np.array([10, 10])))

@@ -2,8 +2,9 @@
 
 The benchmark is a query set, taken in blocks of ``block_items`` items. For each block, against all documents:
 
-1. The terms are the words of its items. How many documents hold a term is counted over all documents.
-2. Passages are rows of TF-IDF weights over the terms: the items, and windows of a documented number of documents. A
+1. The terms are the words of its items. Every distinct text is kept as the numbers of its terms, with the number of
+   documents that have it. How many documents hold a term is counted over all documents.
+2. Passages are rows of TF-IDF weights over the terms: the items, and all windows of all documents, copies once. A
    randomised SVD runs over these rows where they lie: they are multiplied with a random matrix and back, the
    columns of the sum are made orthonormal, and the products with that basis give a small Gram matrix, whose
    eigenvectors turn the basis into the latent axes. The driver gets terms x rank sums, no passage.
@@ -18,7 +19,7 @@ The benchmark is a query set, taken in blocks of ``block_items`` items. For each
 One row per document and item found: doc_id, item_id, cosine, lcs (share of the item), first_word and n_words of the
 stretch, answer (its words stand there). NULL and empty texts and items find nothing. Rows that repeat an id are one
 document or item: the best match counts. Items of fewer than ``min_words`` words must stand there in full. All documents are
-read twice per block of items.
+read twice per block of items, their term numbers three times.
 """
 
 from __future__ import annotations
@@ -32,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerpulse.llm import textio
+from tickerpulse.llm.stored import release, stored
 
 STEP = 16  # words; windows are two and four steps wide
 WIDTHS = (2, 4)
 ANSWER_WORDS = 5
 PROBE = 5  # words
+BLOCK_WORDS = 80_000  # words whose windows are multiplied at a time
+SUM_ROWS = 256  # rows of a task's matrix that travel together
 
 
 class Items:
@@ -130,90 +134,124 @@ def _windows_of(sums: np.ndarray, offsets: np.ndarray, text: np.ndarray, width:
     return out
 
 
-def document_counts(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many documents each term stands, and the number of documents."""
+def term_lists(rows: DataFrame, items: Items) -> DataFrame:
+    """(h, terms, n) of every distinct text: the term numbers of its words in order, the number of terms standing for other
+    words, as the bytes of one array; and how many rows have the text."""
     shared = rows.sparkSession.sparkContext.broadcast(items)  # one block of items
+    kind = _kind(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = shared.value
+        for batch in batches:
+            for a, z, _, first, terms in _block_terms(items, batch.column("text")):
+                numbers = np.where(terms < 0, len(items.terms), terms).astype(kind)
+                lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer(first * kind.itemsize), pa.py_buffer(numbers)])
+                yield pa.record_batch([batch.column("h").slice(a, z - a), lists.cast(pa.binary())], ["h", "terms"])
+
+    found = rows.select("text", F.xxhash64("text").alias("h")).mapInArrow(run, "h long, terms binary")
+    return found.groupBy("h").agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n"))
+
+
+def _kind(items: Items) -> np.dtype:
+    return np.min_scalar_type(len(items.terms))
+
+
+def _listed(items: Items, lists: pa.Array) -> Iterator[tuple]:
+    """First and last list, first words (one more) and term numbers, -1 for other words, of blocks of whole lists."""
+    data, starts = textio.column_bytes(lists)
+    numbers, first = data.view(_kind(items)), starts // _kind(items).itemsize
+    for a, z in textio.blocks(first, BLOCK_WORDS):
+        terms = numbers[first[a] : first[z]].astype(np.int64)
+        yield a, z, first[a : z + 1] - first[a], np.where(terms < len(items.terms), terms, -1)
+
+
+def document_counts(lists: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """In how many documents each term stands, and the number of documents."""
+    shared = lists.sparkSession.sparkContext.broadcast(items)  # one block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, n = shared.value, 0
         counts = np.zeros(len(items.terms), np.int64)
         for batch in batches:
-            for a, z, _, first, terms in _block_terms(items, batch.column("text")):
-                text = np.repeat(np.arange(z - a), np.diff(first))
+            copies = batch.column("n").to_numpy()
+            n += int(copies.sum())
+            for a, _, first, terms in _listed(items, batch.column("terms")):
+                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 found = terms >= 0
                 pairs = np.sort(text[found] * len(items.terms) + terms[found])
-                new = np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]
-                counts += np.bincount(pairs[new] % len(items.terms), minlength=len(items.terms))
-                n += z - a
+                pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
+                np.add.at(counts, pairs % len(items.terms), copies[a + pairs // len(items.terms)])
         term = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(np.append(term, -1), pa.int32()), pa.array(np.append(counts[term], n), pa.int64())], ["term", "n"])
 
-    found = rows.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = lists.select("terms", "n").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(items.terms))
     terms = found[found["term"] >= 0]
     counts[terms["term"]] = terms["n"]
     return counts, int(found.loc[found["term"] < 0, "n"].sum())
 
 
-def _summed(rows: DataFrame, task) -> np.ndarray:
-    """The sum over all tasks of the matrix that ``task`` makes from a task's batches."""
+def _summed(lists: DataFrame, task, width: int) -> np.ndarray:
+    """The sum over all tasks of the matrix of ``width`` columns that ``task`` makes from a task's batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = task(batches)
-        yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), textio.lists(total.reshape(-1), np.arange(len(total) + 1) * total.shape[1], pa.float64())], ["row", "v"])
+        at = np.arange(0, len(total), SUM_ROWS)
+        ends = np.append(at, len(total)) * width
+        yield pa.record_batch([pa.array(at, pa.int32()), textio.lists(total.reshape(-1), ends, pa.float64())], ["row", "v"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         column = table.column("v").combine_chunks()
         total = column.flatten().to_numpy().reshape(len(column), -1).sum(0)
         return pa.table([pa.array([key[0].as_py()], pa.int32()), textio.lists(total, np.array([0, len(total)]), pa.float64())], ["row", "v"])
 
-    found = rows.mapInArrow(run, "row int, v array<double>").groupBy("row").applyInArrow(add, "row int, v array<double>").toPandas()
-    return np.stack(found.sort_values("row")["v"].to_numpy())
+    found = lists.select("terms").mapInArrow(run, "row int, v array<double>").groupBy("row").applyInArrow(add, "row int, v array<double>").toPandas()
+    return np.concatenate(found.sort_values("row")["v"].to_numpy()).reshape(-1, width)
 
 
-def latent_axes(sample: DataFrame, items: Items, idf: np.ndarray, rank: int, seed: int = 17) -> np.ndarray:
-    """terms x rank: TF-IDF vectors times this matrix are latent vectors. ``sample`` has a column text; the items'
-    rows weigh as much as all its windows together."""
+def latent_axes(lists: DataFrame, items: Items, idf: np.ndarray, rank: int, seed: int = 17) -> np.ndarray:
+    """terms x rank: TF-IDF vectors times this matrix are latent vectors. ``lists`` are those of all texts; the items'
+    rows weigh as much as all their windows together."""
     n_terms = len(items.terms)
     width = min(rank + 8, n_terms)
     start = np.random.default_rng(seed).standard_normal((n_terms, width)).astype(np.float32)
-    shared = sample.sparkSession.sparkContext.broadcast((items, idf))
+    shared = lists.sparkSession.sparkContext.broadcast((items, idf))
 
-    def rows_times(texts: pa.Array, items: Items, matrix: np.ndarray, weights: np.ndarray) -> Iterator[tuple]:
-        for _, _, _, first, terms in _block_terms(items, texts, 500_000):
-            offsets, at, text = _windows(first)
-            product = _windows_of(_step_sums(terms, at, matrix * weights[:, None]), offsets, text, WIDTHS[0])
-            norm = np.sqrt(np.maximum(_windows_of(_step_sums(terms, at, (weights**2)[:, None]), offsets, text, WIDTHS[0]), 1e-9))
-            yield terms, offsets, at, text, product / norm, norm
+    def rows_times(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[tuple]:
+        items, weights = shared.value
+        weighted, squares = matrix * weights[:, None], (weights**2)[:, None]
+        for batch in batches:
+            for _, _, first, terms in _listed(items, batch.column("terms")):
+                offsets, at, text = _windows(first)
+                product = _windows_of(_step_sums(terms, at, weighted), offsets, text, WIDTHS[0])
+                norm = np.sqrt(np.maximum(_windows_of(_step_sums(terms, at, squares), offsets, text, WIDTHS[0]), 1e-9))
+                yield terms, offsets, at, text, product / norm, norm
 
     def back(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        items, weights = shared.value
         total = np.zeros((n_terms, width))
-        for batch in batches:
-            for terms, offsets, at, text, product, norm in rows_times(batch.column("text"), items, start, weights):
-                # Transposed: a term gets the products of the windows it stands in, which begin at its step and before.
-                scaled = product / norm
-                reach = scaled.copy()
-                begin = offsets[:-1][text]
-                for k in range(1, WIDTHS[0]):
-                    inside = np.flatnonzero(np.arange(len(at)) - k >= begin)
-                    reach[inside] += scaled[inside - k]
-                place = np.flatnonzero(terms >= 0)
-                order = np.argsort(terms[place], kind="stable")
-                sorted_terms = terms[place][order]
-                rows = reach[np.searchsorted(at, place[order], "right") - 1]
-                first = np.flatnonzero(np.concatenate([[True], sorted_terms[1:] != sorted_terms[:-1]])) if len(rows) else []
-                if len(rows):
-                    total[sorted_terms[first]] += np.add.reduceat(rows, first, axis=0)
-        return total * weights[:, None]
+        for terms, offsets, at, text, product, norm in rows_times(batches, start):
+            # Transposed: a term gets the products of the windows it stands in, which begin at its step and before.
+            scaled = product / norm
+            reach = scaled.copy()
+            begin = offsets[:-1][text]
+            for k in range(1, WIDTHS[0]):
+                inside = np.flatnonzero(np.arange(len(at)) - k >= begin)
+                reach[inside] += scaled[inside - k]
+            place = np.flatnonzero(terms >= 0)
+            if not len(place):
+                continue
+            order = np.argsort(terms[place], kind="stable")
+            sorted_terms = terms[place][order]
+            step = (np.searchsorted(at, place, "right") - 1)[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_terms[1:] != sorted_terms[:-1]]))
+            total[sorted_terms[first]] += np.add.reduceat(reach[step], first, axis=0)
+        return total * shared.value[1][:, None]
 
     def gram(basis: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            items, weights = shared.value
             total = np.zeros((width, width))
-            for batch in batches:
-                for *_, product, _ in rows_times(batch.column("text"), items, basis, weights):
-                    total += product.T @ product
+            for *_, product, _ in rows_times(batches, basis):
+                total += product.T @ product
             return total
 
         return run
@@ -223,12 +261,12 @@ def latent_axes(sample: DataFrame, items: Items, idf: np.ndarray, rank: int, see
         np.add.at(row, items.numbers(words), 1)
     own *= idf
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-    weigh = lambda of_sample, of_items: of_sample / max(np.trace(of_sample), 1e-9) + of_items / max(np.trace(of_items), 1e-9)
-    z_sample, z_items = _summed(sample, back), own.T @ (own @ start)
-    z = z_sample / max(np.linalg.norm(z_sample), 1e-9) + z_items / max(np.linalg.norm(z_items), 1e-9)
+    weigh = lambda of_texts, of_items: of_texts / max(np.trace(of_texts), 1e-9) + of_items / max(np.trace(of_items), 1e-9)
+    z_texts, z_items = _summed(lists, back, width), own.T @ (own @ start)
+    z = z_texts / max(np.linalg.norm(z_texts), 1e-9) + z_items / max(np.linalg.norm(z_items), 1e-9)
     basis = np.linalg.qr(z)[0].astype(np.float32)
     of_items = own @ basis
-    values, vectors = np.linalg.eigh(weigh(_summed(sample, gram(basis)), of_items.T @ of_items))
+    values, vectors = np.linalg.eigh(weigh(_summed(lists, gram(basis), width), of_items.T @ of_items))
     return (basis @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
@@ -265,10 +303,9 @@ def best_stretch(item: np.ndarray, words: np.ndarray, low: int, high: int, least
 def contaminated(
     df: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, answer_col: str | None = None,
     rank: int = 96, cosine: float = 0.65, copy: float = 0.8, paraphrase: float = 0.6, min_words: int = 8,
-    fit_docs: int = 2000, block_items: int = 1000, seed: int = 29,
+    block_items: int = 1000,
 ) -> DataFrame:
-    """Documents that hold benchmark items. The latent axes are fitted on about ``fit_docs`` documents at most, chosen by a
-    hash of their text, copies once; terms, windows and candidates are those of all documents."""
+    """Documents that hold benchmark items. Terms, latent axes, windows and candidates are those of all documents."""
     session = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).where("text <> ''")
     answer = F.lower(answer_col) if answer_col else F.lit(None).cast("string")
@@ -279,14 +316,14 @@ def contaminated(
         items = Items(block)
         if not len(items.terms):
             continue
-        counts, n = document_counts(rows, items)
+        lists = stored(term_lists(rows, items), "term_lists")
+        counts, n = document_counts(lists, items)
+        if n:
+            idf = np.log((n + 1) / (counts + 1)).astype(np.float32) + np.float32(0.05)
+            axes = latent_axes(lists, items, idf, rank) * idf[:, None]
+        release(lists)
         if not n:
             continue
-        idf = np.log((n + 1) / (counts + 1)).astype(np.float32) + np.float32(0.05)
-        share = min(1.0, fit_docs / n)
-        hashed = rows.select("text", F.xxhash64("text", F.lit(seed)).alias("h")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-        sample = hashed.groupBy("h").agg(F.first("text").alias("text")).select("text")
-        axes = latent_axes(sample, items, idf, rank) * idf[:, None]
         found.append(_search(rows, items, axes, schema, cosine, copy, paraphrase, min_words))
     out = found[0]
     for part in found[1:]:
