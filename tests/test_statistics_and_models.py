@@ -223,6 +223,25 @@ def test_neighbours_equal_brute_force(spark, tile_rows):
     assert got == {i: np.argsort(distance[i], kind="stable")[:7].tolist() for i in range(60)}
 
 
+def test_a_test_row_travels_once_per_tile_of_cells(spark):
+    """In 64 dimensions no cell is ruled out: 30 cells in 3 tiles, and a crowded cell in tiles of its own."""
+    size = np.array([20] * 30 + [900])
+    first, n_tiles = neighbors._tiles(size, 200)
+    assert first.tolist() == [0] * 10 + [1] * 10 + [2] * 10 + [3] and n_tiles.tolist() == [1] * 30 + [5]
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(31, 64))
+    test = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(random.normal(size=(50, 64)))], "test_key long, x array<double>")
+    visits = neighbors._visits(test, centres, size, np.full(31, 9.0), first, n_tiles, 32).collect()
+    assert len(visits) == 50 and all(r["tiles"] == list(range(8)) for r in visits)
+    train, test = (pd.DataFrame({"id": range(n), "x": random.normal(size=(n, 64)).tolist(), "y": 0}) for n in (700, 40))
+    found = neighbors.nearest(spark.createDataFrame(test), spark.createDataFrame(train), "id", "x", "y", 9, pivots=40, tile_rows=128)
+    got = {}
+    for r in found.orderBy("id", "distance", "train_key").collect():
+        got.setdefault(r["id"], []).append(r["train_key"])
+    distance = np.sqrt(((np.stack(test.x)[:, None] - np.stack(train.x)[None]) ** 2).sum(-1))
+    assert got == {i: np.argsort(distance[i], kind="stable")[:9].tolist() for i in range(40)}
+
+
 def test_an_exact_hit_decides(spark):
     near = spark.createDataFrame([(1, 10, 0.0, 2), (1, 11, 0.1, 0), (1, 12, 0.1, 0), (2, 13, 1.0, 1), (2, 14, 0.5, 0)], "id int, train_key int, distance double, label int")
     votes = neighbors.vote(near, "id")

@@ -14,6 +14,8 @@ from tickerpulse.session import cut_lineage
 
 # Pivots grow with the root of the train rows, up to what the driver and every task can hold.
 MAX_PIVOTS = 4096
+# Distances to pivots that a task holds at a time.
+CELLS_AT_ONCE = 1 << 18
 
 
 def nearest(
@@ -23,9 +25,10 @@ def nearest(
     """(key, train_key, distance, label): the ``k`` nearest train rows of each test row, ties by train key.
 
     Train rows go to the cell of their nearest pivot. Cell sizes and radii bound the k-th distance of a test
-    row from above and its distance to each cell from below, which rules most cells out. The
-    remaining cells are cut into tiles of about ``tile_rows`` rows on both sides, so that no task gets a crowded cell
-    whole; a tile returns k rows per test row, never its pairs.
+    row from above and its distance to each cell from below, which rules most cells out. Cells side by side
+    form tiles of about ``tile_rows`` rows, and crowded cells are cut into several. A test row is
+    sent once to every tile in which a cell remains, in parts of about ``tile_rows`` rows; a part of a tile returns
+    k rows per test row, never its pairs. So where nothing is ruled out, a test row travels once per tile, not per cell.
     """
     # Both sides are read several times below.
     vectors = F.col(vector).cast("array<double>").alias("x")
@@ -44,34 +47,37 @@ def nearest(
     at = np.array([r["cell"] for r in cells])
     size = np.array([r["n"] for r in cells], dtype="int64")
     radius = np.array([r["radius"] for r in cells])
-    order = np.argsort(at)
+    order = np.argsort(_along(centres[at]), kind="stable")
     at, size, radius = at[order], size[order], radius[order]
+    first, n_tiles = _tiles(size, tile_rows)
 
-    visits = _visits(test, centres[at], at, size, radius, k)
-    load = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    visits = cut_lineage(_visits(test, centres[at], size, radius, first, n_tiles, k))
+    load = {r["tile"]: r["n"] for r in visits.select(F.explode("tiles").alias("tile")).groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = test.sparkSession
-    # One row per pivot, so small enough to broadcast.
+    # One row per tile and one per pivot, so small enough to broadcast.
+    parts = F.broadcast(spark.createDataFrame(
+        [(t, max(1, ceil(load.get(t, 0) / tile_rows))) for t in range(int((first + n_tiles).max()))], "tile int, parts int",
+    ))
     shape = F.broadcast(spark.createDataFrame(
-        [(int(c), max(1, ceil(load.get(c, 0) / tile_rows)), max(1, ceil(n / tile_rows))) for c, n in zip(at, size)],
-        "cell int, test_tiles int, train_tiles int",
+        [(int(c), i, int(f), int(n)) for i, (c, f, n) in enumerate(zip(at, first, n_tiles))], "cell int, place int, first int, n_tiles int",
     ))
-    # Each test tile of a cell meets each train tile of the same cell.
-    test_side = visits.join(shape, "cell").select(
-        "cell", F.pmod(F.xxhash64("test_key"), "test_tiles").cast("int").alias("tile_a"),
-        F.explode(F.sequence(F.lit(0), F.col("train_tiles") - 1)).alias("tile_b"), "test_key", "x",
+    # Each part of a tile's test rows meets the whole tile.
+    test_side = visits.select("test_key", "x", "reach", F.explode("tiles").alias("tile")).join(parts, "tile").select(
+        "tile", F.pmod(F.xxhash64("test_key"), "parts").cast("int").alias("part"), "test_key", "x", "reach",
     )
-    train_side = celled.join(shape, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("test_tiles") - 1)).alias("tile_a"),
-        F.pmod(F.xxhash64("train_key"), "train_tiles").cast("int").alias("tile_b"), "train_key", "x", "label",
+    tile = (F.col("first") + F.pmod(F.xxhash64("train_key"), "n_tiles")).cast("int").alias("tile")
+    train_side = celled.join(shape, "cell").select(tile, "place", "train_key", "x", "label").join(parts, "tile").select(
+        "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "place", "train_key", "x", "label",
     )
-    by = ["cell", "tile_a", "tile_b"]
+    by = ["tile", "part"]
     schema = ", ".join(
         f"{name} {frame.schema[name].dataType.simpleString()}"
         for name, frame in (("test_key", test), ("train_key", train), ("label", train))
     ) + ", distance double"
+    placed = centres[at]
 
     def best_of_tile(_, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return _best(asked, known, k)
+        return _best(asked, known, k, placed, radius)
 
     local = test_side.groupBy(*by).cogroup(train_side.groupBy(*by)).applyInPandas(best_of_tile, schema)
     closest = Window.partitionBy("test_key").orderBy("distance", "train_key")
@@ -97,59 +103,106 @@ def classify(votes: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.col("_top.label").alias("prediction"), (-F.col("_top.p")).alias("confidence"))
 
 
+def _along(centres: np.ndarray) -> np.ndarray:
+    """Where the pivots stand on the axis along which they differ most."""
+    centred = np.clip(np.nan_to_num(centres - centres.mean(axis=0)), -1e100, 1e100)
+    return centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+
+
+def _tiles(size: np.ndarray, tile_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First tile and number of tiles of every cell: cells in a row share a tile up to ``tile_rows`` rows, crowded ones have several."""
+    first, n_tiles, tile, held = [], [], -1, tile_rows
+    for n in size.tolist():
+        if held + n > tile_rows:
+            tile, held = tile + 1, 0
+        first.append(tile)
+        n_tiles.append(max(1, ceil(n / tile_rows)))
+        tile, held = tile + n_tiles[-1] - 1, held + n
+    return np.array(first), np.array(n_tiles)
+
+
+def _slices(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """A batch in slices whose distances to ``width`` pivots are of bounded size."""
+    step = max(1, CELLS_AT_ONCE // width)
+    for start in range(0, len(batch), step):
+        yield batch.iloc[start:start + step]
+
+
 def _assign(train: DataFrame, centres: np.ndarray) -> DataFrame:
     def add_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                distances = _to_centres(np.stack(batch["x"].to_numpy()), centres)
+            for rows in _slices(batch, len(centres)):
+                distances = _to_centres(np.stack(rows["x"].to_numpy()), centres)
                 cell = distances.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), to_pivot=distances[np.arange(len(cell)), cell])
+                yield rows.assign(cell=cell.astype("int32"), to_pivot=distances[np.arange(len(cell)), cell])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.schema)
     return train.mapInPandas(add_cell, schema + ", cell int, to_pivot double")
 
 
-def _visits(test: DataFrame, centres: np.ndarray, at: np.ndarray, size: np.ndarray, radius: np.ndarray, k: int) -> DataFrame:
-    """One row per test row and cell that may hold one of its k nearest."""
+def _near(distances: np.ndarray, radius: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which cells may hold a row within reach. The slack keeps rounding from ruling out a cell that just touches the bound."""
+    return distances - radius <= (reach * (1 + 1e-9) + 1e-9)[:, None]
+
+
+def _visits(
+    test: DataFrame, centres: np.ndarray, size: np.ndarray, radius: np.ndarray, first: np.ndarray, n_tiles: np.ndarray, k: int,
+) -> DataFrame:
+    """Every test row with a bound of its k-th distance and the tiles that may hold one of its k nearest."""
+    # Cells stand in the order of their tiles.
+    starts = np.flatnonzero(np.diff(first, prepend=-1))
+    owner = np.repeat(np.arange(len(starts)), n_tiles[starts])
+
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            distances = _to_centres(np.stack(batch["x"].to_numpy()), centres)
-            farthest = distances + radius
-            nearest_first = np.argsort(farthest, axis=1)
-            covered = np.cumsum(size[nearest_first], axis=1) >= min(k, size.sum())
-            reach = np.take_along_axis(farthest, nearest_first, axis=1)[np.arange(len(batch)), covered.argmax(axis=1)]
-            # The slack keeps rounding from ruling out a cell that just touches the bound.
-            keep = distances - radius <= (reach * (1 + 1e-9) + 1e-9)[:, None]
-            row, cell = np.nonzero(keep)
-            out = batch.iloc[row].copy()
-            out["cell"] = at[cell].astype("int32")
-            yield out
+            for rows in _slices(batch, len(centres)):
+                distances = _to_centres(np.stack(rows["x"].to_numpy()), centres)
+                farthest = distances + radius
+                nearest_first = np.argsort(farthest, axis=1)
+                covered = np.cumsum(size[nearest_first], axis=1) >= min(k, size.sum())
+                reach = np.take_along_axis(farthest, nearest_first, axis=1)[np.arange(len(rows)), covered.argmax(axis=1)]
+                keep = np.logical_or.reduceat(_near(distances, radius, reach), starts, axis=1)[:, owner]
+                tiles = pd.Series([np.flatnonzero(row).astype("int32") for row in keep], index=rows.index, dtype=object)
+                yield rows.assign(reach=reach, tiles=tiles)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in test.schema)
-    return test.mapInPandas(pick, schema + ", cell int")
+    return test.mapInPandas(pick, schema + ", reach double, tiles array<int>")
 
 
-def _best(asked: pd.DataFrame, known: pd.DataFrame, k: int) -> pd.DataFrame:
+def _best(asked: pd.DataFrame, known: pd.DataFrame, k: int, centres: np.ndarray, radius: np.ndarray) -> pd.DataFrame:
+    """The k nearest of a tile's rows, of each asking row; ``place`` is the cell of a known row."""
     columns = ["test_key", "train_key", "label", "distance"]
     if not len(asked) or not len(known):
         return pd.DataFrame({c: pd.Series(dtype="float64") for c in columns}).iloc[:0]
     known = known.sort_values("train_key", kind="stable")
     x, y = np.stack(asked["x"].to_numpy()), np.stack(known["x"].to_numpy())
+    cells, cell = np.unique(known["place"].to_numpy(), return_inverse=True)
+    to_cells = np.concatenate([_to_centres(x[a:a + 256], centres[cells]) for a in range(0, len(x), 256)])
+    near = _near(to_cells, radius[cells], asked["reach"].to_numpy())
+    together = np.argsort(to_cells.argmin(axis=1), kind="stable")  # rows that ask for the same cells
     parts = []
-    for start in range(0, len(x), 256):
-        distances = _to_centres(x[start:start + 256], y)
-        # A stable sort over rows in key order settles ties by the key.
-        first = np.argsort(distances, axis=1, kind="stable")[:, :k]
-        width = first.shape[1]
+    for start in range(0, len(x), 64):
+        rows = together[start:start + 64]
+        there = np.flatnonzero(near[rows].any(axis=0)[cell])
+        if not len(there):
+            continue
+        distances = _to_centres(x[rows], y[there])
+        if len(there) > k:
+            row, at = np.nonzero(~(distances > np.partition(distances, k - 1, axis=1)[:, k - 1, None]))
+        else:
+            row, at = np.nonzero(np.ones(distances.shape, bool))
+        # Known rows stand in key order, so their place settles ties by the key.
+        order = np.lexsort((at, distances[row, at], row))
+        row, at = row[order], at[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, at = row[first], at[first]
         parts.append(pd.DataFrame({
-            "test_key": np.repeat(asked["test_key"].to_numpy()[start:start + 256], width),
-            "train_key": known["train_key"].to_numpy()[first.ravel()],
-            "label": known["label"].to_numpy()[first.ravel()],
-            "distance": np.take_along_axis(distances, first, axis=1).ravel(),
+            "test_key": asked["test_key"].to_numpy()[rows[row]],
+            "train_key": known["train_key"].to_numpy()[there[at]],
+            "label": known["label"].to_numpy()[there[at]],
+            "distance": distances[row, at],
         }))
-    return pd.concat(parts)[columns]
+    return pd.concat(parts)[columns] if parts else _best(asked.iloc[:0], known, k, centres, radius)
 
 
 def _to_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
