@@ -41,6 +41,7 @@ BAND_ROWS = 4
 SIZE = 5
 PERIOD = 12
 REACH = 64  # words compared on both sides of the seeds that two documents share
+BLOCK = 1_000_000  # bytes of text cut and hashed at a time: the arrays take some fifty times as much
 UNIT = 1 << 19  # seeds kept in one row
 SHARE = 1 << 20  # seeds whose hashes one group compares
 
@@ -108,7 +109,7 @@ def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: in
         for batch in batches:
             ids = batch.column("id").to_numpy()
             data, starts = textio.column_bytes(batch.column("text"))
-            for a, z in textio.blocks(starts):
+            for a, z in textio.blocks(starts, BLOCK):
                 own, place = data[starts[a] : starts[z]], starts[a : z + 1] - starts[a]
                 words = textio.words(own, place)
                 text, at, n, values, offsets = _lines(own, place, min_line, words)
@@ -126,6 +127,7 @@ def paragraphs(rows: DataFrame, min_line: int, seed: int, spread: int, bands: in
                     unit, held, n_held = unit + -(-n_held // most), [], 0
         if n_held:
             yield from _units(task, unit, held, seed, most)
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return rows.mapInArrow(
         run, "id long, h long, first_word int, n_words int, bands array<long>, unit long, n_seeds int, seed_hashes binary, seed_words binary, seed_ids binary"
@@ -214,7 +216,7 @@ def _near_classes(rows: DataFrame, classes: DataFrame, threshold: float, min_lin
         for batch in batches:
             data, starts = textio.column_bytes(batch.column("text"))
             asked = batch.column("wanted").to_pylist()
-            for a, z in textio.blocks(starts):
+            for a, z in textio.blocks(starts, BLOCK):
                 own, place = data[starts[a] : starts[z]], starts[a : z + 1] - starts[a]
                 text, _, _, values, offsets = _lines(own, place, min_line, textio.words(own, place))
                 hashes = _set_hashes(values, offsets).view(np.int64)
@@ -330,7 +332,7 @@ def _lost_passages(rows: DataFrame, hits: DataFrame, threshold: float, min_words
             new[1:] = ~pc.equal(text.slice(1), text.slice(0, max(len(text) - 1, 0))).to_numpy(zero_copy_only=False)
             rows_of = np.append(np.flatnonzero(new), len(text))
             data, starts = textio.column_bytes(text.filter(pa.array(new)))
-            for p, q in textio.blocks(starts):
+            for p, q in textio.blocks(starts, BLOCK):
                 _, _, hashes, first = textio.words(data[starts[p] : starts[q]], starts[p : q + 1] - starts[p])
                 a, z = rows_of[p], rows_of[q]
                 own = np.repeat(np.arange(q - p), np.diff(rows_of[p : q + 1]))
