@@ -128,7 +128,8 @@ def score_with_context(
             # A neighbour that carries a valence of its own changes nothing.
             neutral = known[before].isNull()
             adjusted = F.when(neutral, (adjusted + F.signum(value) * step) * factor).otherwise(adjusted)
-        return F.coalesce(adjusted, F.lit(0.0))
+        # Few words are hits; the others are not looked at further.
+        return F.when(value.isNull(), F.lit(0.0)).otherwise(F.coalesce(adjusted, F.lit(0.0)))
 
     total = F.aggregate(F.transform(words, in_context), F.lit(0.0), lambda acc, v: acc + v)
     scored = with_found(df, key, tokens, valences)
