@@ -130,6 +130,15 @@ def plain_segmentation(text, scores, unknown):
     return best[-1]
 
 
+@pytest.mark.parametrize("text", ["▁ ", "a▁ b", "▁  ▁ a", " ▁", "▁", " ", "", "é ▁▁  b▁"])
+def test_a_blank_behind_a_mark_begins_no_word(text):
+    model = pieces._load(PIECE_MODEL)[0]
+    data, starts = textio.column_bytes(pa.array([" " + text, " b"] if text else ["", " b"]))
+    ids, at = pieces.encode_block(PIECE_MODEL, data, starts)
+    assert ids[: at[1]].tolist() == model.segment(("▁" + text.replace(" ", "▁")) if text else "")
+    assert ids[at[1] :].tolist() == model.segment("▁b")
+
+
 @given(st.text(st.sampled_from("abcdehinorst éßñ▁\n.日\U0001f600"), max_size=24))
 @settings(max_examples=150, deadline=None)
 def test_segmentation_is_the_best(text):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tickerpulse.llm import textio
 
 MARK = "▁"
+_MARK_BYTES = MARK.encode()
 
 
 class Pieces:
@@ -112,7 +113,10 @@ def encode_block(path: str, data: np.ndarray, starts: np.ndarray) -> tuple[np.nd
     _, cache = _load(path)
     blank = data == 32
     cut = np.zeros(len(data) + 1, bool)
-    cut[:-1] = blank & ~np.concatenate([[False], blank[:-1]])[: len(data)]
+    # A blank behind a blank begins no word, nor does one behind a word mark that stands in the text itself.
+    behind = np.concatenate([[False], blank[:-1]])[: len(data)]
+    behind[3:] |= (data[:-3] == _MARK_BYTES[0]) & (data[1:-2] == _MARK_BYTES[1]) & (data[2:-1] == _MARK_BYTES[2])
+    cut[:-1] = blank & ~behind
     cut[starts[:-1][np.diff(starts) > 0]] = True
     cut[len(data)] = False
     begin = np.flatnonzero(cut)
