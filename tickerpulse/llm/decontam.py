@@ -40,6 +40,8 @@ WIDTHS = (2, 4)
 ANSWER_WORDS = 5
 PROBE = 5  # words
 BLOCK_WORDS = 80_000  # words whose windows are multiplied at a time
+OFTEN = 64  # terms in most documents: half of all places in running text
+LEAD, ONE = np.uint64(48), np.uint64(1)  # words are looked up by the first 16 bits of their hashes
 SUM_ROWS = 256  # rows of a task's matrix that travel together
 
 
@@ -62,6 +64,8 @@ class Items:
         self.ids = [rows[i][0] for i in kept]
         self.words, self.answers = [self.words[i] for i in kept], [answers[i] for i in kept]
         self.terms = np.unique(np.concatenate(self.words)) if kept else np.zeros(0, np.uint64)
+        # Where the terms with the same first bits begin.
+        self.leads = np.searchsorted(self.terms >> LEAD, np.arange(1 + (1 << 16), dtype=np.uint64)).astype(np.int32)
         # Where an item may begin: its first word, then a hash of its first words, by their number.
         self.begins = np.append(np.isin(self.terms, [w[0] for w in self.words]), False)
         lengths = np.minimum([len(w) for w in self.words], PROBE).astype(np.int64)
@@ -89,9 +93,16 @@ class Items:
                         yield int(of[j]), i, int(place[j])
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word's term, -1 for other words."""
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.where(self.terms[at] == hashes, at, -1)
+        """The number of each word's term, -1 for other words. Most of these begin like no term."""
+        out, lead = np.full(len(hashes), -1), hashes >> LEAD
+        at = np.flatnonzero(self.leads[lead + ONE] > self.leads[lead])
+        place, end = self.leads[lead[at]], self.leads[lead[at] + ONE]
+        while len(at):
+            hit = self.terms[place] == hashes[at]
+            out[at[hit]] = place[hit]
+            left = np.flatnonzero(~hit & (place + 1 < end))
+            at, place, end = at[left], place[left] + 1, end[left]
+        return out
 
 
 def _block_terms(items: Items, texts: pa.Array, block_bytes: int = 4_000_000) -> Iterator[tuple]:
@@ -109,18 +120,45 @@ def _windows(first: np.ndarray) -> tuple[np.ndarray, ...]:
     return offsets, first[:-1][text] + (np.arange(offsets[-1]) - offsets[text]) * STEP, text
 
 
-def _step_sums(terms: np.ndarray, start: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Per step, the sum of the matrix rows of its terms."""
+def _often(idf: np.ndarray) -> np.ndarray:
+    """The terms in most documents."""
+    return np.argsort(idf, kind="stable")[:OFTEN]
+
+
+def _often_counts(terms: np.ndarray, start: np.ndarray, often: np.ndarray, n_terms: int) -> tuple[Iterator[tuple], np.ndarray, np.ndarray]:
+    """How many times each of the ``often`` terms stands in each step, for some steps at a time (first, last, counts); place and
+    step of all other terms."""
+    rank = np.full(n_terms + 1, -1)  # the last one for words that are no terms
+    rank[often] = np.arange(len(often))
+    ranks = rank[terms]
+    step = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(terms))))
+    known = np.flatnonzero(ranks >= 0)
+    flat, of = step[known] * len(often) + ranks[known], step[known]
+
+    def some() -> Iterator[tuple]:
+        for low in range(0, len(start), 4096):
+            high = min(low + 4096, len(start))
+            a, z = np.searchsorted(of, [low, high])
+            counts = np.bincount(flat[a:z] - low * len(often), minlength=(high - low) * len(often))
+            yield low, high, counts.reshape(high - low, len(often)).astype(np.float32)
+
+    others = np.flatnonzero((terms >= 0) & (ranks < 0))
+    return some(), others, step[others]
+
+
+def _step_sums(terms: np.ndarray, start: np.ndarray, matrix: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Per step, the sum of the matrix rows of its terms: those of the ``often`` terms as a product of matrices."""
     out = np.zeros((len(start), matrix.shape[1]), np.float32)
-    at = np.flatnonzero(terms >= 0)
+    counted, at, step = _often_counts(terms, start, often, len(matrix))
+    for low, high, counts in counted:
+        np.matmul(counts, matrix[often], out=out[low:high])
     if len(at):
-        step = np.searchsorted(start, at, "right") - 1
         begin = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
         for low in range(0, len(begin), 512):  # what a core holds close by
             high = min(low + 512, len(begin))
             stop = begin[high] if high < len(begin) else len(at)
             part = matrix[terms[at[begin[low] : stop]]]
-            out[step[begin[low:high]]] = np.add.reduceat(part, begin[low:high] - begin[low], axis=0)
+            out[step[begin[low:high]]] += np.add.reduceat(part, begin[low:high] - begin[low], axis=0)
     return out
 
 
@@ -212,20 +250,20 @@ def _summed(lists: DataFrame, task, width: int) -> np.ndarray:
 def latent_axes(lists: DataFrame, items: Items, idf: np.ndarray, rank: int, seed: int = 17) -> np.ndarray:
     """terms x rank: TF-IDF vectors times this matrix are latent vectors. ``lists`` are those of all texts; the items'
     rows weigh as much as all their windows together."""
-    n_terms = len(items.terms)
+    n_terms, often = len(items.terms), _often(idf)
     width = min(rank + 8, n_terms)
     start = np.random.default_rng(seed).standard_normal((n_terms, width)).astype(np.float32)
     shared = lists.sparkSession.sparkContext.broadcast((items, idf))
 
     def rows_times(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[tuple]:
         items, weights = shared.value
-        weighted, squares = matrix * weights[:, None], (weights**2)[:, None]
+        weighted = np.column_stack([matrix * weights[:, None], weights**2])  # the last column sums to the squared length
         for batch in batches:
             for _, _, first, terms in _listed(items, batch.column("terms")):
                 offsets, at, text = _windows(first)
-                product = _windows_of(_step_sums(terms, at, weighted), offsets, text, WIDTHS[0])
-                norm = np.sqrt(np.maximum(_windows_of(_step_sums(terms, at, squares), offsets, text, WIDTHS[0]), 1e-9))
-                yield terms, offsets, at, text, product / norm, norm
+                sums = _windows_of(_step_sums(terms, at, weighted, often), offsets, text, WIDTHS[0])
+                norm = np.sqrt(np.maximum(sums[:, -1:], 1e-9))
+                yield terms, offsets, at, text, sums[:, :-1] / norm, norm
 
     def back(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((n_terms, width))
@@ -237,14 +275,15 @@ def latent_axes(lists: DataFrame, items: Items, idf: np.ndarray, rank: int, seed
             for k in range(1, WIDTHS[0]):
                 inside = np.flatnonzero(np.arange(len(at)) - k >= begin)
                 reach[inside] += scaled[inside - k]
-            place = np.flatnonzero(terms >= 0)
+            counted, place, step = _often_counts(terms, at, often, n_terms)
+            for low, high, counts in counted:
+                total[often] += counts.T @ reach[low:high]
             if not len(place):
                 continue
             order = np.argsort(terms[place], kind="stable")
             sorted_terms = terms[place][order]
-            step = (np.searchsorted(at, place, "right") - 1)[order]
             first = np.flatnonzero(np.concatenate([[True], sorted_terms[1:] != sorted_terms[:-1]]))
-            total[sorted_terms[first]] += np.add.reduceat(reach[step], first, axis=0)
+            total[sorted_terms[first]] += np.add.reduceat(reach[step[order]], first, axis=0)
         return total * shared.value[1][:, None]
 
     def gram(basis: np.ndarray):
@@ -324,7 +363,7 @@ def contaminated(
         release(lists)
         if not n:
             continue
-        found.append(_search(rows, items, axes, schema, cosine, copy, paraphrase, min_words))
+        found.append(_search(rows, items, axes, _often(idf), schema, cosine, copy, paraphrase, min_words))
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -347,7 +386,7 @@ def _joined(text: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarr
     yield from zip(text[new].tolist(), item[new].tolist(), begin[new].tolist(), ends.tolist(), values.tolist(), strict=True)
 
 
-def _search(rows: DataFrame, items: Items, axes: np.ndarray, schema: str, cosine: float, copy: float, paraphrase: float, min_words: int) -> DataFrame:
+def _search(rows: DataFrame, items: Items, axes: np.ndarray, often: np.ndarray, schema: str, cosine: float, copy: float, paraphrase: float, min_words: int) -> DataFrame:
     latent = np.stack([axes[items.numbers(w)].sum(0) for w in items.words])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     shared = rows.sparkSession.sparkContext.broadcast((items, axes, latent))  # one block of items x rank
@@ -358,14 +397,16 @@ def _search(rows: DataFrame, items: Items, axes: np.ndarray, schema: str, cosine
     def matches(hashes: np.ndarray, first: np.ndarray, terms: np.ndarray) -> Iterator[tuple]:
         items, axes, latent = shared.value
         offsets, start, text = _windows(first)
-        sums = _step_sums(terms, start, axes)
+        sums = _step_sums(terms, start, axes, often)
         near_text, near_item, near_begin, near_end, near_cosine = [], [], [], [], []
         for width in WIDTHS:
             vectors = _windows_of(sums, offsets, text, width)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-            for low in range(0, len(vectors), 4096):
-                near = vectors[low : low + 4096] @ latent.T
-                w, i = np.nonzero(near >= cosine)
+            for low in range(0, len(vectors), 1024):
+                near = vectors[low : low + 1024] @ latent.T
+                some = np.flatnonzero(near.max(1) >= cosine)  # few windows come near any item
+                w, i = np.nonzero(near[some] >= cosine)
+                w = some[w]
                 near_text.append(text[low + w])
                 near_item.append(i)
                 near_begin.append(start[low + w])
