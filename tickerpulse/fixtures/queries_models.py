@@ -194,7 +194,7 @@ def text_classifier_scores(spark, sf_dir):
 @query("hashing_tf_idf")
 def hashing_tf_idf(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    features = models.fit_text_features(docs, "text").transform(docs)
+    features = models.fit_text_features(docs, "text").transform(common.spread(docs.select("doc_id", "text")))
     return features.select("doc_id", F.size(F.array_distinct("grams")).alias("n_terms"), F.col("features").cast("string").alias("features"))
 
 

@@ -15,6 +15,12 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all tasks, for costly work on each: a file of few row groups is read by as few tasks."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+
+
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
