@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tickerpulse.session import cut_lineage
 
@@ -19,6 +20,11 @@ CELLS_AT_ONCE = 1 << 18
 # Bytes of a tile's vectors, and test rows that meet it at a time.
 TILE_BYTES = 1 << 24
 PART_ROWS = 1 << 14
+MAX_TASKS = 2000
+# Pairs whose distance is added up at a time.
+PAIRS = 1 << 16
+# Squares by a matrix product stray by less than this share of both squared lengths, rounding included, up to hundreds of dimensions.
+STRAY = 1e-12
 
 
 def nearest(
@@ -36,13 +42,15 @@ def nearest(
     grow with their square. Parts are smaller where all tasks would not get one.
     """
     # Both sides are read several times below.
-    vectors = F.col(vector).cast("array<double>").alias("x")
+    # Floats travel as they are, and become doubles in the tasks.
+    floats = train.schema[vector].dataType == test.schema[vector].dataType == ArrayType(FloatType())
+    vectors = F.col(vector).cast("array<float>" if floats else "array<double>").alias("x")
     train = cut_lineage(train.select(F.col(key).alias("train_key"), vectors, F.col(label).alias("label")))
     test = cut_lineage(test.select(F.col(key).alias("test_key"), vectors))
     pivots = pivots or min(max(int(train.count() ** 0.5), 16), MAX_PIVOTS)
     # A bounded number of pivots, spread by a hash of the key.
     sample = train.orderBy(F.xxhash64("train_key"), "train_key").limit(pivots).select("x").collect()
-    centres = np.unique(np.array([r["x"] for r in sample]), axis=0)
+    centres = np.unique(np.array([r["x"] for r in sample], dtype=float), axis=0)
     if not len(centres):
         return _empty(test, train, key)
 
@@ -64,9 +72,8 @@ def nearest(
     tasks = 2 * spark.sparkContext.defaultParallelism
     part_rows = max(256, min(part_rows, ceil(sum(load.values()) / tasks)))
     # One row per tile and one per pivot, so small enough to broadcast.
-    parts = F.broadcast(spark.createDataFrame(
-        [(t, max(1, ceil(load.get(t, 0) / part_rows))) for t in range(int((first + n_tiles).max()))], "tile int, parts int",
-    ))
+    parts_of = [(t, max(1, ceil(load.get(t, 0) / part_rows))) for t in range(int((first + n_tiles).max()))]
+    parts = F.broadcast(spark.createDataFrame(parts_of, "tile int, parts int"))
     shape = F.broadcast(spark.createDataFrame(
         [(int(c), i, int(f), int(n)) for i, (c, f, n) in enumerate(zip(at, first, n_tiles))], "cell int, place int, first int, n_tiles int",
     ))
@@ -88,6 +95,9 @@ def nearest(
     def best_of_tile(_, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         return _best(asked, known, k, placed, radius)
 
+    # By their bytes a few tasks would do; by their pairs each part of a tile is worth one.
+    dealt = min(MAX_TASKS, 4 * sum(n for _, n in parts_of))
+    test_side, train_side = test_side.repartition(dealt, *by), train_side.repartition(dealt, *by)
     local = test_side.groupBy(*by).cogroup(train_side.groupBy(*by)).applyInPandas(best_of_tile, schema)
     closest = Window.partitionBy("test_key").orderBy("distance", "train_key")
     ranked = local.withColumn("rank", F.row_number().over(closest)).filter(F.col("rank") <= k)
@@ -141,9 +151,10 @@ def _assign(train: DataFrame, centres: np.ndarray) -> DataFrame:
     def add_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in _slices(batch, len(centres)):
-                distances = _to_centres(np.stack(rows["x"].to_numpy()), centres)
-                cell = distances.argmin(axis=1)
-                yield rows.assign(cell=cell.astype("int32"), to_pivot=distances[np.arange(len(cell)), cell])
+                x = _stacked(rows["x"])
+                # The cell of a pivot that is as good as the nearest serves as well; its radius holds the true distances.
+                cell = _squares(x, centres)[0].argmin(axis=1)
+                yield rows.assign(cell=cell.astype("int32"), to_pivot=_between(x, centres[cell]))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in train.schema)
     return train.mapInPandas(add_cell, schema + ", cell int, to_pivot double")
@@ -165,8 +176,9 @@ def _visits(
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in _slices(batch, len(centres)):
-                distances = _to_centres(np.stack(rows["x"].to_numpy()), centres)
-                farthest = distances + radius
+                squares, stray = _squares(_stacked(rows["x"]), centres)
+                distances = np.sqrt(np.maximum(squares - stray, 0.0))
+                farthest = np.sqrt(np.maximum(squares + stray, 0.0)) + radius
                 nearest_first = np.argsort(farthest, axis=1)
                 covered = np.cumsum(size[nearest_first], axis=1) >= min(k, size.sum())
                 reach = np.take_along_axis(farthest, nearest_first, axis=1)[np.arange(len(rows)), covered.argmax(axis=1)]
@@ -184,41 +196,90 @@ def _best(asked: pd.DataFrame, known: pd.DataFrame, k: int, centres: np.ndarray,
     if not len(asked) or not len(known):
         return pd.DataFrame({c: pd.Series(dtype="float64") for c in columns}).iloc[:0]
     known = known.sort_values("train_key", kind="stable")
-    x, y = np.stack(asked["x"].to_numpy()), np.stack(known["x"].to_numpy())
+    known = known.iloc[_first_copies(_stacked(known["x"]), k)]
+    x, y = _stacked(asked["x"]), _stacked(known["x"])
     cells, cell = np.unique(known["place"].to_numpy(), return_inverse=True)
-    to_cells = np.concatenate([_to_centres(x[a:a + 256], centres[cells]) for a in range(0, len(x), 256)])
-    near = _near(to_cells, radius[cells], asked["reach"].to_numpy())
-    together = np.argsort(to_cells.argmin(axis=1), kind="stable")  # rows that ask for the same cells
+    near, nearest_cell = [], []
+    for a in range(0, len(x), 4096):
+        squares, stray = _squares(x[a:a + 4096], centres[cells])
+        near.append(_near(np.sqrt(np.maximum(squares - stray, 0.0)), radius[cells], asked["reach"].to_numpy()[a:a + 4096]))
+        nearest_cell.append(squares.argmin(axis=1))
+    near = np.concatenate(near)
+    together = np.argsort(np.concatenate(nearest_cell), kind="stable")  # rows that ask for the same cells
     parts = []
-    width = int(np.clip((1 << 22) // len(y), 1, 64))  # distances held at a time
+    width = int(np.clip((1 << 22) // len(y), 1, 256))  # distances held at a time
     for start in range(0, len(x), width):
         rows = together[start:start + width]
-        there = np.flatnonzero(near[rows].any(axis=0)[cell])
+        wanted = near[rows].any(axis=0)
+        there = np.arange(len(y)) if wanted.all() else np.flatnonzero(wanted[cell])
         if not len(there):
             continue
-        distances = _to_centres(x[rows], y[there])
-        if len(there) > k:
-            row, at = np.nonzero(~(distances > np.partition(distances, k - 1, axis=1)[:, k - 1, None]))
-        else:
-            row, at = np.nonzero(np.ones(distances.shape, bool))
+        row, at = _candidates(x[rows], y if len(there) == len(y) else y[there], k)
+        distances = np.concatenate([_between(x[rows[row[a:a + PAIRS]]], y[there[at[a:a + PAIRS]]]) for a in range(0, len(row), PAIRS)])
         # Known rows stand in key order, so their place settles ties by the key.
-        order = np.lexsort((at, distances[row, at], row))
-        row, at = row[order], at[order]
+        order = np.lexsort((at, distances, row))
+        row, at, distances = row[order], at[order], distances[order]
         first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, at = row[first], at[first]
+        row, at, distances = row[first], at[first], distances[first]
         parts.append(pd.DataFrame({
             "test_key": asked["test_key"].to_numpy()[rows[row]],
             "train_key": known["train_key"].to_numpy()[there[at]],
             "label": known["label"].to_numpy()[there[at]],
-            "distance": distances[row, at],
+            "distance": distances,
         }))
     return pd.concat(parts)[columns] if parts else _best(asked.iloc[:0], known, k, centres, radius)
 
 
-def _to_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    squares = np.zeros((len(x), len(centres)))
-    for d in range(x.shape[1]):
-        squares += (x[:, d, None] - centres[None, :, d]) ** 2
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype(float, copy=False)
+
+
+def _first_copies(y: np.ndarray, k: int) -> np.ndarray:
+    """All rows but those with ``k`` equal ones before them, which are nobody's k nearest."""
+    y = np.ascontiguousarray(y)
+    digest = (y @ np.random.default_rng(0).normal(size=y.shape[1])).round(9)
+    _, of, n = np.unique(digest, return_inverse=True, return_counts=True)
+    crowded = np.flatnonzero(n[of] > k)
+    # Only rows that crowd by the digest are compared bit by bit.
+    _, of = np.unique(y[crowded].view(f"V{y.dtype.itemsize * y.shape[1]}").ravel(), return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    late = np.arange(len(order)) - np.searchsorted(of[order], of[order]) >= k
+    return np.delete(np.arange(len(y)), crowded[order[late]])
+
+
+def _candidates(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of y), row by row, among which are the k nearest of every x, ties included."""
+    if len(y) <= k:
+        return np.nonzero(np.ones((len(x), len(y)), bool))
+    squares, stray = _squares(x, y)
+    if not np.isfinite(squares).all():
+        # NaN and what overflows: nothing is told by the product.
+        distances = np.stack([_between(np.broadcast_to(one, y.shape), y) for one in x])
+        return np.nonzero(~(distances > np.partition(distances, k - 1, axis=1)[:, k - 1, None]))
+    # The k-th of a few columns bounds the k-th of all, and leaves few values to order.
+    few = np.ascontiguousarray(squares[:, ::max(1, len(y) // max(1024, 8 * k))])
+    bound = np.partition(few, k - 1, axis=1)[:, k - 1, None]
+    row, at = np.divmod(np.flatnonzero(squares <= bound + 2 * stray), len(y))
+    values = squares[row, at]
+    begins = np.searchsorted(row, np.arange(len(x)))
+    best = np.array([np.partition(part, k - 1)[k - 1] for part in np.split(values, begins[1:])])
+    held = values <= (best[:, None] + 2 * stray)[row, 0]
+    return row[held], at[held]
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and per row of x how far they may stray."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, other = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+        squares = np.column_stack([x, own, np.ones(len(x))]) @ np.column_stack([-2.0 * y, np.ones(len(y)), other]).T
+        return squares, (STRAY * (own + other.max(initial=0.0)))[:, None]
+
+
+def _between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of rows side by side, added up dimension by dimension: a pair has the same number in any batch."""
+    squares = np.zeros(len(x))
+    for a, b in zip(x.T, y.T):
+        squares += (a - b) ** 2
     return np.sqrt(squares)
 
 
